@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from graphmill.plans import reference_integrity
+from graphmill.plans import reference_integrity, task_trees
 
-_MODULES = [reference_integrity]
+_MODULES = [reference_integrity, task_trees]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
