@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from graphmill.llm import leakage, packing, provenance, splitting, syntax
+from graphmill.llm import leakage, packing, provenance, splitting, syntax, truncation
 
-_MODULES = [syntax, provenance, packing, leakage, splitting]
+_MODULES = [syntax, provenance, packing, leakage, splitting, truncation]
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in _MODULES for k, s in m.SQL.items()}
