@@ -13,8 +13,12 @@ exact copies of nodes give one; of several scans of a file the latest counts; nu
 
 from __future__ import annotations
 
+import itertools
+import operator
 import re
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -25,119 +29,134 @@ from graphmill.llm.files import file_rows
 from graphmill.llm.lexing import language_of, lex
 from graphmill.sources.tables import table
 
-_ROW = "array<struct<seq int, line int, kind string, delta int, text string>>"
-_PLAIN_PREFIX = re.compile(r"^[rRuU]?(?=['\"])")
+# kinds of rows
+CODE, COMMENT, LINE_COMMENT, OPEN, CLOSE, BODY = range(6)
+_PLAIN_PREFIX = re.compile(r"[rRuU]?(?=['\"])")
 
 
 def file_tokens(path: str, content: str) -> list[tuple]:
-    """Rows (seq, line, kind, delta, text) of one file. Kinds: code (a line's code), comment (one block, at its last line),
-    line_comment, open, close, body (where a Python body begins, with its documentation string or null)."""
+    """Rows (offset, order, line, kind, text) of one file, in order. CODE is a line's code, COMMENT one block at its last line,
+    LINE_COMMENT one line, OPEN and CLOSE change the depth, BODY is where a Python body begins, with its documentation string or null."""
     language = language_of(path)
     if language is None:
         return []
-    content = content.replace("\r\n", "\n")
-    lexed = lex(content, language)
-    starts = [0]
-    for m in re.finditer("\n", content):
-        starts.append(m.end())
-
-    def line_of(at: int, lo: int) -> int:
-        while lo < len(starts) and starts[lo] <= at:
-            lo += 1
-        return lo
-
-    events = []  # (offset, order, line, kind, delta, text)
-    line = 0
-    code: dict[int, list] = {}
-    toks, ends = lexed.tokens, lexed.ends
-    brackets = 0
-    waiting = False  # a header of def or class whose colon has not come
-    last_line = 1
-    fresh = True
-    for i, (cls, at, _) in enumerate(toks):
-        line = line_of(at, line) if line else line_of(at, 0)
+    if "\r" in content:
+        content = content.replace("\r\n", "\n")
+    tokens, ends, comments = lex(content, language)
+    breaks = [m.start() for m in re.finditer("\n", content)]
+    python = language == "python"
+    events = []
+    at_line = 0
+    line, code_at, code_end, last_line = 0, 0, 0, 1
+    brackets, waiting, fresh = 0, False, True
+    for i, (cls, at, _) in enumerate(tokens):
+        while at_line < len(breaks) and breaks[at_line] < at:
+            at_line += 1
         if cls not in ("NL", "INDENT", "DEDENT"):
-            if line not in code:
-                code[line] = [at, ends[i]]
-                events.append((at, 0, line, "code", 0, None))
-            else:
-                code[line][1] = ends[i]
-            last_line = line_of(max(at, ends[i] - 1), line)
-        if language == "python":
-            if cls == "INDENT":
-                events.append((at, -1, line, "open", 1, None))
-            elif cls == "DEDENT":
-                events.append((at, -1, last_line, "close", -1, None))
-            elif cls == "NL":
-                fresh = True
-                continue
-            if cls in ("(", "[", "{"):
-                brackets += 1
-            elif cls in (")", "]", "}"):
-                brackets -= 1
-            elif cls == ":" and waiting and brackets == 0:
-                waiting = False
-                j = i + 1
-                while j < len(toks) and toks[j][0] in ("NL", "INDENT"):
-                    j += 1
-                k = j
-                while k < len(toks) and toks[k][0] == "STR":
-                    k += 1
-                doc = None
-                if k > j and (k == len(toks) or toks[k][0] in ("NL", ";")) and _PLAIN_PREFIX.match(content[toks[j][1] :]):
-                    doc = content[toks[j][1] : ends[k - 1]]
-                events.append((at, 1, line, "body", 0, doc))
-            if fresh and cls in ("def", "class", "async"):
-                waiting = cls != "async" or i + 1 < len(toks) and toks[i + 1][0] == "def"
-            if cls not in ("INDENT", "DEDENT"):
-                fresh = False
-        elif cls == "{":
-            events.append((at, 1, line, "open", 1, None))
-        elif cls == "}":
-            events.append((at, 1, line, "close", -1, None))
-    lo = 0
-    for c in lexed.comments:
-        first = line_of(c.start, lo)
-        lo = first
-        if content[starts[first - 1] : c.start].strip():
+            if at_line + 1 != line:
+                if line:
+                    events.append((code_at, 0, line, CODE, content[code_at:code_end]))
+                line, code_at = at_line + 1, at
+            code_end = ends[i]
+            last_line = line if cls != "STR" else line + content.count("\n", at, code_end)
+        if not python:
+            if cls == "{":
+                events.append((at, 1, at_line + 1, OPEN, None))
+            elif cls == "}":
+                events.append((at, 1, at_line + 1, CLOSE, None))
+            continue
+        if cls == "NL":
+            fresh = True
+            continue
+        if cls == "INDENT":
+            events.append((at, -1, at_line + 1, OPEN, None))
+            continue
+        if cls == "DEDENT":
+            events.append((at, -1, last_line, CLOSE, None))
             continue
-        single = c.text.startswith(("//", "#"))
-        events.append((c.start, 0, first if single else line_of(c.end - 1, first), "line_comment" if single else "comment", 0, c.text))
-    events.sort(key=lambda e: (e[0], e[1]))
-    return [(n, ln, kind, delta, content[code[ln][0] : code[ln][1]] if kind == "code" else text) for n, (_, _, ln, kind, delta, text) in enumerate(events)]
+        if cls in ("(", "[", "{"):
+            brackets += 1
+        elif cls in (")", "]", "}"):
+            brackets -= 1
+        elif cls == ":" and waiting and brackets == 0:
+            waiting = False
+            j = i + 1
+            while j < len(tokens) and tokens[j][0] in ("NL", "INDENT"):
+                j += 1
+            k = j
+            while k < len(tokens) and tokens[k][0] == "STR":
+                k += 1
+            doc = None
+            if k > j and (k == len(tokens) or tokens[k][0] in ("NL", ";")) and _PLAIN_PREFIX.match(content, tokens[j][1]):
+                doc = content[tokens[j][1] : ends[k - 1]]
+            events.append((at, 1, at_line + 1, BODY, doc))
+        if fresh and (cls == "def" or cls == "class" or cls == "async" and i + 1 < len(tokens) and tokens[i + 1][0] == "def"):
+            waiting = True
+        fresh = False
+    if line:
+        events.append((code_at, 0, line, CODE, content[code_at:code_end]))
+    if not python:  # Python's documentation is no comment
+        at_line = 0
+        for start, end, text in comments:
+            while at_line < len(breaks) and breaks[at_line] < start:
+                at_line += 1
+            begin = breaks[at_line - 1] + 1 if at_line else 0
+            if begin < start and not content[begin:start].isspace():
+                continue
+            if text.startswith("//"):
+                events.append((start, 0, at_line + 1, LINE_COMMENT, text))
+            else:
+                events.append((start, 0, at_line + 1 + text.count("\n"), COMMENT, text))
+    events.sort(key=_place)
+    return events
+
+
+_place = operator.itemgetter(0, 1)
 
 
 def token_rows(rows: DataFrame) -> DataFrame:
-    """The exploded rows of all files; `fid` numbers a scan of a file."""
+    """The rows of all files. fid numbers a scan of a file, file is the key of its repo and path."""
 
     def run(pdfs):
         for p in pdfs:
-            yield pd.DataFrame({"repo": p["repo"], "path": p["path"], "scanned_at": p["scanned_at"], "fid": p["fid"], "toks": [[dict(zip(("seq", "line", "kind", "delta", "text"), t)) for t in file_tokens(a, b or "")] for a, b in zip(p["path"], p["content"])]})
+            events = [file_tokens(a, b or "") for a, b in zip(p["path"], p["content"])]
+            counts = np.array([len(e) for e in events])
+            flat = list(itertools.chain.from_iterable(events))
+            if not flat:
+                continue
+            _, _, line, kind, text = zip(*flat)
+            seq = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
+            yield pd.DataFrame({"file": np.repeat(p["file"].to_numpy(), counts), "at": np.repeat(p["at"].to_numpy(), counts), "fid": np.repeat(p["fid"].to_numpy(), counts), "seq": seq.astype(np.int32), "line": np.array(line, np.int32), "kind": np.array(kind, np.int8), "text": text})
 
-    numbered = rows.select("repo", "path", "scanned_at", "content", F.monotonically_increasing_id().alias("fid"))
-    lexed = numbered.mapInPandas(run, f"repo string, path string, scanned_at timestamp, fid long, toks {_ROW}")
-    return lexed.select("repo", "path", "scanned_at", "fid", F.explode("toks").alias("t")).select("repo", "path", "scanned_at", "fid", "t.*")
+    numbered = rows.select(_file_key("repo", "path").alias("file"), "path", F.coalesce(F.unix_micros("scanned_at"), F.lit(-1)).alias("at"), "content", F.monotonically_increasing_id().alias("fid"))
+    return numbered.mapInPandas(run, "file long, at long, fid long, seq int, line int, kind byte, text string")
+
+
+def _file_key(repo: str, path: str):
+    """64 bits for a file; a pair also needs the listed name on the listed line, so that a chance collision has no effect."""
+    return F.xxhash64(repo, path)
 
 
 def declared_lines(tokens: DataFrame) -> DataFrame:
     """Per line of code: the declaration there or below its annotations, the comment above, the body's string and the block's end."""
+    is_line = F.col("kind") == LINE_COMMENT
     by_kind = W.partitionBy("fid", "kind").orderBy("seq")
-    x = tokens.withColumn("island", F.when(F.col("kind") == "line_comment", F.col("line") - F.row_number().over(by_kind)))
+    x = tokens.withColumn("island", F.when(is_line, F.col("line") - F.row_number().over(by_kind)))
     run = W.partitionBy("fid", "kind", "island").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    x = x.withColumn("text", F.when(F.col("kind") == "line_comment", F.array_join(F.collect_list(F.when(F.col("kind") == "line_comment", F.col("text"))).over(run), "\n")).otherwise(F.col("text")))
+    x = x.withColumn("text", F.when(is_line, F.array_join(F.collect_list(F.when(is_line, F.col("text"))).over(run), "\n")).otherwise(F.col("text")))
     up = W.partitionBy("fid").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     down = W.partitionBy("fid").orderBy(F.desc("seq")).rowsBetween(W.unboundedPreceding, 0)
-    is_comment = F.col("kind").isin("comment", "line_comment")
-    is_code = (F.col("kind") == "code") & ~F.col("text").rlike(r"^@\w+(\.\w+)*\s*(\([^()]*\))?\s*$")
+    is_code = (F.col("kind") == CODE) & ~(F.startswith("text", F.lit("@")) & F.col("text").rlike(r"^@\w+(\.\w+)*\s*(\([^()]*\))?\s*$"))
+    here = F.struct("line", "text")
     x = (
-        x.withColumn("depth", F.sum("delta").over(up))
-        .withColumn("above", F.last(F.when(is_comment, F.struct("line", "text")), True).over(up))
-        .withColumn("decl", F.last(F.when(is_code, F.struct("line", "text")), True).over(down))
-        .withColumn("body", F.last(F.when(F.col("kind") == "body", F.struct("line", "text")), True).over(down))
+        x.withColumn("depth", F.sum(F.when(F.col("kind") == OPEN, 1).when(F.col("kind") == CLOSE, -1).otherwise(0)).over(up))
+        .withColumn("above", F.last(F.when(F.col("kind").isin(COMMENT, LINE_COMMENT), here), True).over(up))
+        .withColumn("decl", F.last(F.when(is_code, here), True).over(down))
+        .withColumn("body", F.last(F.when(F.col("kind") == BODY, here), True).over(down))
     )
     level = W.partitionBy("fid", "depth").orderBy(F.desc("seq")).rowsBetween(W.unboundedPreceding, 0)
-    x = x.withColumn("line_end", F.last(F.when(F.col("kind") == "close", F.col("line")), True).over(level))
-    return x.where("kind = 'code'").select("repo", "path", "scanned_at", "fid", "line", "decl", "above", "body", "line_end")
+    x = x.withColumn("line_end", F.last(F.when(F.col("kind") == CLOSE, F.col("line")), True).over(level))
+    return x.where(F.col("kind") == CODE).select("file", "at", "line", "decl", "above", "body", "line_end")
 
 
 # --- does a documentation say something ---------------------------------------------------------------------------------
@@ -223,8 +242,16 @@ def says_something(raw: str | None, name: str) -> bool:
     It does not if, after markers and bare tags are taken away, nothing is left but rules, a placeholder, words of the name or of
     kinds, pointers to other places, tool directives or lines of code.
     """
-    if not raw:
+    told = telling_words(raw) if raw else ()
+    if not told:
         return False
+    own = {f for w in _words(name) for f in _forms(w)} | {"".join(_words(name))}
+    return any(w not in own and not (_forms(w) & own) and any(c.isalpha() for c in w) for w in told)
+
+
+@lru_cache(1 << 15)
+def telling_words(raw: str) -> tuple[str, ...]:
+    """The words of a documentation that may describe, whatever the name; none if it is a placeholder, a pointer and the like."""
     kept = []
     section = False
     for line in doc_text(raw).split("\n"):
@@ -247,19 +274,15 @@ def says_something(raw: str | None, name: str) -> bool:
         if any(c.isalnum() for c in t):
             kept.append(t)
     if not kept:
-        return False
+        return ()
     if all(_CODE.match(t) for t in kept):
-        return False
+        return ()
     text = re.sub(r"\s+", " ", " ".join(kept)).strip()
     if _PLACEHOLDER.fullmatch(text.strip(" .:!-")) or _DIRECTIVE.match(text):
-        return False
+        return ()
     sentences = [s for s in re.split(r"(?<=[.!?;])\s+", text) if any(c.isalnum() for c in s)]
     rest = [s for s in sentences if not points_elsewhere(s) and not _PLACEHOLDER.fullmatch(s.strip(" .:!-"))]
-    if not rest:
-        return False
-    own = {f for w in _words(name) for f in _forms(w)} | {"".join(_words(name))}
-    told = [w for w in _words(" ".join(rest)) if w not in _KIND_WORDS and not (_forms(w) & own)]
-    return any(any(c.isalpha() for c in w) for w in told)
+    return tuple(w for w in dict.fromkeys(_words(" ".join(rest))) if w not in _KIND_WORDS)
 
 
 def declares(text: str | None, name: str | None, kind: str, language: str) -> bool:
@@ -297,9 +320,10 @@ def pairs(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """(repo, qualified_name, kind, path, line_start, line_end, doc) of nodes (repo, qualified_name, kind, name, file_path,
     line_start) whose declaration and telling documentation stand in the files of `rows`."""
     wanted = nodes.where("repo is not null and qualified_name is not null and name is not null and file_path is not null and line_start is not null").select("repo", "qualified_name", "kind", "name", F.col("file_path").alias("path"), F.col("line_start").alias("line")).distinct()
-    found = declared_lines(token_rows(rows)).join(wanted, ["repo", "path", "line"])
-    newest = rows.groupBy("repo", "path").agg(F.max("scanned_at").alias("scanned_at"))
-    found = found.join(newest, ["repo", "path", "scanned_at"], "left_semi")
+    wanted = wanted.withColumn("file", _file_key("repo", "path"))
+    found = declared_lines(token_rows(rows)).join(wanted, ["file", "line"])
+    newest = rows.groupBy("repo", "path").agg(F.max(F.coalesce(F.unix_micros("scanned_at"), F.lit(-1))).alias("at"))
+    found = found.join(newest, ["repo", "path", "at"], "left_semi")
 
     def run(pdfs):
         for p in pdfs:
