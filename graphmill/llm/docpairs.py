@@ -13,8 +13,8 @@ exact copies of nodes give one; of several scans of a file the latest counts; nu
 
 from __future__ import annotations
 
+import bisect
 import itertools
-import operator
 import re
 from functools import lru_cache
 
@@ -30,88 +30,142 @@ from graphmill.llm.lexing import language_of, lex
 from graphmill.sources.tables import table
 
 # kinds of rows
-CODE, COMMENT, LINE_COMMENT, OPEN, CLOSE, BODY = range(6)
-_PLAIN_PREFIX = re.compile(r"[rRuU]?(?=['\"])")
+CODE, COMMENT, LINE_COMMENT, OPEN, CLOSE, BODY, NODE = range(7)
+_STRINGS = r"\"(?:\\[\s\S]|[^\"\\\n])*\"|'(?:\\[\s\S]|[^'\\\n])*'"
+_SCAN = {
+    "script": re.compile(rf"(//[^\n]*|/\*[\s\S]*?\*/)|({_STRINGS}|`(?:\\[\s\S]|[^`\\])*`|(?<=[=(,:!&|?\[;{{}}])[ \t]*/(?![*/ \t])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\[\n])+/)|([{{}}])"),
+    "java": re.compile(rf"(//[^\n]*|/\*[\s\S]*?\*/)|(\"\"\"[\s\S]*?\"\"\"|{_STRINGS})|([{{}}])"),
+    "cpp": re.compile(rf"(//[^\n]*|/\*[\s\S]*?\*/)|({_STRINGS})|([{{}}])"),
+    "python": re.compile(r"(#[^\n]*)|(\"\"\"(?:\\[\s\S]|[^\\])*?\"\"\"|'''(?:\\[\s\S]|[^\\])*?'''|\"(?:\\[\s\S]|[^\"\\\n])*\"|'(?:\\[\s\S]|[^'\\\n])*')|([(\[{])|([)\]}])|(\\\n)|(\n)"),
+}
+# Words and signs that no declaration begins with.
+_NO_DECLARATION = re.compile(r"(?:return|if|else|for|while|switch|case|break|continue|throw|do|try|catch|finally|import|package|using|delete|await|yield|goto)\b|[})\]#;.,+\-*/%&|<>=!?:\"'`\d]")
+_HEADER = re.compile(r"(?:async[ \t]+)?def\b|class\b")
+_BODY = re.compile(r"(?:[rRuU]?(?:\"\"\"(?:\\[\s\S]|[^\\])*?\"\"\"|'''(?:\\[\s\S]|[^\\])*?'''|\"(?:\\[\s\S]|[^\"\\\n])*\"|'(?:\\[\s\S]|[^'\\\n])*')[ \t]*)+(?=[;#\n]|$)")
 
 
 def file_tokens(path: str, content: str) -> list[tuple]:
-    """Rows (offset, order, line, kind, text) of one file, in order. CODE is a line's code, COMMENT one block at its last line,
-    LINE_COMMENT one line, OPEN and CLOSE change the depth, BODY is where a Python body begins, with its documentation string or null."""
+    """Rows (line, kind, text) of one file, in order. CODE is a line on which a declaration may stand, COMMENT one block at its last
+    line, LINE_COMMENT one line, OPEN and CLOSE change the depth, BODY is at a
+    Python header's line, with the documentation string that opens its body or null."""
     language = language_of(path)
     if language is None:
         return []
     if "\r" in content:
         content = content.replace("\r\n", "\n")
-    tokens, ends, comments = lex(content, language)
-    breaks = [m.start() for m in re.finditer("\n", content)]
-    python = language == "python"
-    events = []
-    at_line = 0
-    line, code_at, code_end, last_line = 0, 0, 0, 1
-    brackets, waiting, fresh = 0, False, True
-    for i, (cls, at, _) in enumerate(tokens):
-        while at_line < len(breaks) and breaks[at_line] < at:
-            at_line += 1
-        if cls not in ("NL", "INDENT", "DEDENT"):
-            if at_line + 1 != line:
-                if line:
-                    events.append((code_at, 0, line, CODE, content[code_at:code_end]))
-                line, code_at = at_line + 1, at
-            code_end = ends[i]
-            last_line = line if cls != "STR" else line + content.count("\n", at, code_end)
-        if not python:
-            if cls == "{":
-                events.append((at, 1, at_line + 1, OPEN, None))
-            elif cls == "}":
-                events.append((at, 1, at_line + 1, CLOSE, None))
+    return _python_rows(content) if language == "python" else _braced_rows(content, "script" if language in ("javascript", "typescript") else language)
+
+
+def _braced_rows(content: str, family: str) -> list[tuple]:
+    lines = content.split("\n")
+    starts = list(itertools.accumulate((len(x) + 1 for x in lines), initial=0))
+    out: list[tuple] = []
+    at = 0  # the line, from 0, that is being read
+    covered = -1  # the last line that a comment or string runs on into
+    shown = -1  # the last line whose code has been put out
+
+    def code_until(line: int) -> None:
+        nonlocal shown
+        for k in range(shown + 1, line + 1):
+            text = lines[k].strip()
+            if k > covered and text and not _NO_DECLARATION.match(text):
+                out.append((k + 1, CODE, text))
+        shown = max(shown, line)
+
+    for m in _SCAN[family].finditer(content):
+        i = m.start()
+        if starts[at + 1] <= i:
+            at = bisect.bisect_right(starts, i, at) - 1
+        if m.lastindex == 3:
+            code_until(at)
+            out.append((at + 1, OPEN if m[0] == "{" else CLOSE, None))
             continue
-        if cls == "NL":
-            fresh = True
+        n = m[0].count("\n")
+        if m.lastindex == 2:
+            if n:
+                code_until(at)
+                covered = max(covered, at + n)
             continue
-        if cls == "INDENT":
-            events.append((at, -1, at_line + 1, OPEN, None))
-            continue
-        if cls == "DEDENT":
-            events.append((at, -1, last_line, CLOSE, None))
-            continue
-        if cls in ("(", "[", "{"):
-            brackets += 1
-        elif cls in (")", "]", "}"):
-            brackets -= 1
-        elif cls == ":" and waiting and brackets == 0:
-            waiting = False
-            j = i + 1
-            while j < len(tokens) and tokens[j][0] in ("NL", "INDENT"):
-                j += 1
-            k = j
-            while k < len(tokens) and tokens[k][0] == "STR":
-                k += 1
-            doc = None
-            if k > j and (k == len(tokens) or tokens[k][0] in ("NL", ";")) and _PLAIN_PREFIX.match(content, tokens[j][1]):
-                doc = content[tokens[j][1] : ends[k - 1]]
-            events.append((at, 1, at_line + 1, BODY, doc))
-        if fresh and (cls == "def" or cls == "class" or cls == "async" and i + 1 < len(tokens) and tokens[i + 1][0] == "def"):
-            waiting = True
-        fresh = False
-    if line:
-        events.append((code_at, 0, line, CODE, content[code_at:code_end]))
-    if not python:  # Python's documentation is no comment
-        at_line = 0
-        for start, end, text in comments:
-            while at_line < len(breaks) and breaks[at_line] < start:
-                at_line += 1
-            begin = breaks[at_line - 1] + 1 if at_line else 0
-            if begin < start and not content[begin:start].isspace():
-                continue
-            if text.startswith("//"):
-                events.append((start, 0, at_line + 1, LINE_COMMENT, text))
-            else:
-                events.append((start, 0, at_line + 1 + text.count("\n"), COMMENT, text))
-    events.sort(key=_place)
-    return events
+        own = not content[starts[at] : i].strip()
+        code_until(at - 1 if own else at)
+        if own:
+            out.append((at + n + 1, LINE_COMMENT if content[i + 1] == "/" else COMMENT, m[0]))
+            covered = max(covered, at + n)
+            rest = lines[at + n][m.end() - starts[at + n] :].strip()
+            code_until(at + n)
+            if rest and not _NO_DECLARATION.match(rest):
+                out.append((at + n + 1, CODE, rest))
+        elif n:
+            covered = max(covered, at + n)
+    code_until(len(lines) - 1)
+    return out
 
 
-_place = operator.itemgetter(0, 1)
+def _python_rows(content: str) -> list[tuple]:
+    out: list[tuple] = []
+    indents = [0]
+    line, first_line, last_code, depth, start = 1, 1, 0, 0, 0
+    header = 0  # the line of a header of def or class whose body has not begun
+
+    def logical(a: int, b: int, number: int, last: int) -> None:
+        """Handles one logical line content[a:b], which begins at line `number` and ends at `last`."""
+        nonlocal header, last_code
+        text = content[a:b]
+        bare = text.lstrip(" \t\f")
+        if not bare.strip() or bare[0] == "#":
+            return
+        width = len(text[: len(text) - len(bare)].expandtabs(8))
+        if width > indents[-1]:
+            indents.append(width)
+            out.append((number, OPEN, None))
+        while width < indents[-1] and len(indents) > 1:
+            indents.pop()
+            out.append((last_code, CLOSE, None))
+        if header:
+            m = _BODY.match(bare)
+            out.append((header, BODY, m[0].rstrip() if m else None))
+            header = 0
+        last_code = last
+        if bare[0] != "@" and not _HEADER.match(bare):
+            return
+        out.append((number, CODE, bare.split("\n", 1)[0].rstrip()))
+        if bare[0] == "@":
+            return
+        if bare.rstrip().endswith(":") and "#" not in bare:
+            header = number
+            return
+        toks, _, _ = lex(bare.rstrip() + "\n", "python")
+        level = 0
+        for k, (cls, _, _) in enumerate(toks):
+            level += (cls in ("(", "[", "{")) - (cls in (")", "]", "}"))
+            if cls == ":" and level == 0:
+                if k + 1 == len(toks) or toks[k + 1][0] in ("NL", "INDENT", "DEDENT"):
+                    header = number
+                else:
+                    m = _BODY.match(bare, toks[k + 1][1])
+                    out.append((number, BODY, m[0].rstrip() if m else None))
+                return
+
+    for m in _SCAN["python"].finditer(content):
+        kind = m.lastindex
+        if kind == 2:
+            line += m[0].count("\n")
+        elif kind == 3:
+            depth += 1
+        elif kind == 4:
+            depth = max(0, depth - 1)
+        elif kind == 5:
+            line += 1
+        elif kind == 6:
+            if depth == 0:
+                logical(start, m.start(), first_line, line)
+                start, first_line = m.end(), line + 1
+            line += 1
+    if start < len(content):
+        logical(start, len(content), first_line, line)
+    for _ in indents[1:]:
+        out.append((last_code, CLOSE, None))
+    return out
 
 
 def token_rows(rows: DataFrame) -> DataFrame:
@@ -124,9 +178,10 @@ def token_rows(rows: DataFrame) -> DataFrame:
             flat = list(itertools.chain.from_iterable(events))
             if not flat:
                 continue
-            _, _, line, kind, text = zip(*flat)
+            line, kind, text = zip(*flat)
             seq = np.arange(len(flat)) - np.repeat(np.cumsum(counts) - counts, counts)
-            yield pd.DataFrame({"file": np.repeat(p["file"].to_numpy(), counts), "at": np.repeat(p["at"].to_numpy(), counts), "fid": np.repeat(p["fid"].to_numpy(), counts), "seq": seq.astype(np.int32), "line": np.array(line, np.int32), "kind": np.array(kind, np.int8), "text": text})
+            keys = {c: np.repeat(p[c].to_numpy(), counts) for c in ("file", "at", "fid")}
+            yield pd.DataFrame(keys | {"seq": seq.astype(np.int32), "line": np.array(line, np.int32), "kind": np.array(kind, np.int8), "text": pd.Series(text, dtype=object)})
 
     numbered = rows.select(_file_key("repo", "path").alias("file"), "path", F.coalesce(F.unix_micros("scanned_at"), F.lit(-1)).alias("at"), "content", F.monotonically_increasing_id().alias("fid"))
     return numbered.mapInPandas(run, "file long, at long, fid long, seq int, line int, kind byte, text string")
@@ -137,26 +192,34 @@ def _file_key(repo: str, path: str):
     return F.xxhash64(repo, path)
 
 
-def declared_lines(tokens: DataFrame) -> DataFrame:
-    """Per line of code: the declaration there or below its annotations, the comment above, the body's string and the block's end."""
+def attached(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The nodes (file, line, node) with the declaration on their line or below its annotations, the comment above, the body's string and the
+    block's end. Nodes join the rows of their file by a union, so that one shuffle serves all windows; only the latest scan's rows count."""
+    marked = nodes.select("file", "line", F.lit(NODE).cast("byte").alias("kind"), "node")
+    x = tokens.withColumn("node", F.lit(None).cast(nodes.schema["node"].dataType)).unionByName(marked, allowMissingColumns=True)
+    newest = F.max(F.struct("at", "fid")).over(W.partitionBy("file"))
+    x = x.withColumn("newest", newest).where("node is not null or (at = newest.at and fid = newest.fid)").drop("newest", "at", "fid")
+    place = ["line", F.col("kind") != NODE, "seq"]
+    back = [F.desc("line"), F.col("kind") == NODE, F.desc("seq")]
     is_line = F.col("kind") == LINE_COMMENT
-    by_kind = W.partitionBy("fid", "kind").orderBy("seq")
-    x = tokens.withColumn("island", F.when(is_line, F.col("line") - F.row_number().over(by_kind)))
-    run = W.partitionBy("fid", "kind", "island").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
+    x = x.withColumn("island", F.when(is_line, F.col("line") - F.row_number().over(W.partitionBy("file", "kind").orderBy(*place))))
+    run = W.partitionBy("file", "kind", "island").orderBy(*place).rowsBetween(W.unboundedPreceding, 0)
     x = x.withColumn("text", F.when(is_line, F.array_join(F.collect_list(F.when(is_line, F.col("text"))).over(run), "\n")).otherwise(F.col("text")))
-    up = W.partitionBy("fid").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
-    down = W.partitionBy("fid").orderBy(F.desc("seq")).rowsBetween(W.unboundedPreceding, 0)
+    up = W.partitionBy("file").orderBy(*place).rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy("file").orderBy(*back).rowsBetween(W.unboundedPreceding, 0)
     is_code = (F.col("kind") == CODE) & ~(F.startswith("text", F.lit("@")) & F.col("text").rlike(r"^@\w+(\.\w+)*\s*(\([^()]*\))?\s*$"))
     here = F.struct("line", "text")
     x = (
         x.withColumn("depth", F.sum(F.when(F.col("kind") == OPEN, 1).when(F.col("kind") == CLOSE, -1).otherwise(0)).over(up))
         .withColumn("above", F.last(F.when(F.col("kind").isin(COMMENT, LINE_COMMENT), here), True).over(up))
         .withColumn("decl", F.last(F.when(is_code, here), True).over(down))
+        .withColumn("first", F.last(F.when(F.col("kind") == CODE, F.col("line")), True).over(down))
         .withColumn("body", F.last(F.when(F.col("kind") == BODY, here), True).over(down))
+        .where(F.col("kind").isin(NODE, CLOSE))
     )
-    level = W.partitionBy("fid", "depth").orderBy(F.desc("seq")).rowsBetween(W.unboundedPreceding, 0)
+    level = W.partitionBy("file", "depth").orderBy(*back).rowsBetween(W.unboundedPreceding, 0)
     x = x.withColumn("line_end", F.last(F.when(F.col("kind") == CLOSE, F.col("line")), True).over(level))
-    return x.where(F.col("kind") == CODE).select("file", "at", "line", "decl", "above", "body", "line_end")
+    return x.where("node is not null and first = line").select("node.*", "line", "decl", "above", "body", "line_end")
 
 
 # --- does a documentation say something ---------------------------------------------------------------------------------
@@ -320,10 +383,8 @@ def pairs(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """(repo, qualified_name, kind, path, line_start, line_end, doc) of nodes (repo, qualified_name, kind, name, file_path,
     line_start) whose declaration and telling documentation stand in the files of `rows`."""
     wanted = nodes.where("repo is not null and qualified_name is not null and name is not null and file_path is not null and line_start is not null").select("repo", "qualified_name", "kind", "name", F.col("file_path").alias("path"), F.col("line_start").alias("line")).distinct()
-    wanted = wanted.withColumn("file", _file_key("repo", "path"))
-    found = declared_lines(token_rows(rows)).join(wanted, ["file", "line"])
-    newest = rows.groupBy("repo", "path").agg(F.max(F.coalesce(F.unix_micros("scanned_at"), F.lit(-1))).alias("at"))
-    found = found.join(newest, ["repo", "path", "at"], "left_semi")
+    placed = wanted.select(_file_key("repo", "path").alias("file"), "line", F.struct("repo", "qualified_name", "kind", "name", "path").alias("node"))
+    found = attached(token_rows(rows), placed)
 
     def run(pdfs):
         for p in pdfs:
