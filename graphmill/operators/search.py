@@ -19,6 +19,10 @@ def tokens(text: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit("([a-z0-9]+)"), 1)
 
 
+def _equals(term: str):
+    return lambda x: x == F.lit(term)
+
+
 def bm25(docs: DataFrame, terms: list[str], k1: float = K1, b: float = B) -> DataFrame:
     """(id, score) for every document (id, text) that holds one of the terms. No terms or only blank ones: no rows.
 
@@ -27,7 +31,7 @@ def bm25(docs: DataFrame, terms: list[str], k1: float = K1, b: float = B) -> Dat
     """
     terms = sorted({t.lower() for t in terms if t.strip()})
     tok = docs.select("id", tokens("text").alias("w")).select("id", F.size("w").alias("len"), "w")
-    counts = [F.size(F.filter("w", lambda x, t=t: x == F.lit(str(t)))).cast("double") for t in terms]
+    counts = [F.size(F.filter("w", _equals(t))).cast("double") for t in terms]
     tf = tok.select("id", F.col("len").cast("double").alias("len"), *[c.alias(f"tf{i}") for i, c in enumerate(counts)])
     stats = tf.agg(F.count("*").alias("n"), F.avg("len").alias("avglen"), *[F.sum((F.col(f"tf{i}") > 0).cast("double")).alias(f"df{i}") for i in range(len(terms))])
     joined = tf.where(F.lit(False) if not terms else F.expr(" or ".join(f"tf{i} > 0" for i in range(len(terms))))).crossJoin(F.broadcast(stats))  # one row

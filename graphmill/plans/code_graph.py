@@ -144,7 +144,7 @@ SQL = {
     "chain_score": f"with {_E}, {_L}, {_DEG}, {_CH}, {_SC} select * from pos",
     "top_processes": f"with {_E}, {_L}, {_DEG}, {_CH}, {_SC}, t as (select *, row_number() over (partition by repo order by score desc, path_id) as rank from pos qualify rank <= 50), b as (select *, concat(split_part(split_part(path_id, '|', 1), '.', -1), ' -> ', split_part(split_part(path_id, '|', -1), '.', -1)) base from t), k as (select *, row_number() over (partition by repo, base order by rank) k from b) select repo, rank, case when k = 1 then base else concat(base, ' #', k) end as name, path_id, score from k",
     "cohesion": f"with {_E}, {_U}, {_L}, ee as (select u.repo, x.label la, y.label lb from u join lab x on x.repo = u.repo and x.node = a join lab y on y.repo = u.repo and y.node = b), ends as (select repo, la as label, la = lb as inside from ee union all select repo, lb, false from ee where la <> lb), per as (select repo, label, count(*) filter (inside) / count(*) c from ends group by 1, 2) select l.repo, l.label, round(coalesce(c, 0.0), 6) cohesion from (select distinct repo, label from lab) l left join per on per.repo = l.repo and per.label = l.label",
-    "label_tokens": f"with {_L}, w as (select repo, label, node, list_filter(string_split_regex(regexp_replace(lower(array_to_string(case when len(string_split(node, '.')) < 2 then string_split(node, '.') else string_split(node, '.')[-2:] end, '.')), '[^a-z._-]', '', 'g'), '[._-]'), x -> x <> '') w from lab), x as (select repo, label, node, unnest(w) token, unnest(range(len(w))) i from w), c as (select repo, label, token, count(*) n, min(struct_pack(node := node, i := i)) first from x group by 1, 2, 3) select repo, label, token from c qualify row_number() over (partition by repo, label order by n desc, first, token) = 1",
+    "label_tokens": f"with {_L}, w as (select repo, label, node, list_filter(string_split_regex(regexp_replace(lower(array_to_string(case when len(string_split(node, '.')) < 2 then string_split(node, '.') else string_split(node, '.')[-2:] end, '.')), '[^a-z._-]', '', 'g'), '[._-]'), lambda x: x <> '') w from lab), x as (select repo, label, node, unnest(w) token, unnest(range(len(w))) i from w), c as (select repo, label, token, count(*) n, min(struct_pack(node := node, i := i)) first from x group by 1, 2, 3) select repo, label, token from c qualify row_number() over (partition by repo, label order by n desc, first, token) = 1",
     "scc": f"with recursive {_E}, m as (select distinct concat(repo, ':', regexp_replace(source, '\\.[^.]*$', '')) a, concat(repo, ':', regexp_replace(target, '\\.[^.]*$', '')) b from e), m2 as (select * from m where a <> b), n as (select a x from m2 union select b from m2), r as (select x, x as y from n union select r.x, m2.b from r join m2 on m2.a = r.y) select p.x node, min(p.y) component from r p join r q on q.x = p.y and q.y = p.x group by 1",
     "connected": f"with recursive {_E}, m as (select distinct concat(repo, ':', source) a, concat(repo, ':', target) b from e), m2 as (select a, b from m union select b, a from m), r as (select a x, a as y from m2 union select r.x, m2.b from r join m2 on m2.a = r.y) select x node, min(y) component from r group by 1",
     "scope_parent": f"with {_S}, j as (select a.*, b.id id2, b.stop - b.start w from s a left join s b on a.repo = b.repo and a.file_path = b.file_path and b.start <= a.start and a.stop <= b.stop and (b.stop - b.start > a.stop - a.start or (b.start = a.start and b.stop = a.stop and b.id < a.id))) select repo, file_path, start, stop as end, id, min(struct_pack(w := w, id2 := id2)) filter (id2 is not null).id2 parent_id from j group by 1, 2, 3, 4, 5",

@@ -80,7 +80,7 @@ def hit_mrr(s: SparkSession, d: str) -> DataFrame:
 
 
 def _bm25_sql(terms: list[str], name: str = "b") -> str:
-    tf = lambda t: f"cast(len(list_filter(w, x -> x = '{t}')) as double)"
+    tf = lambda t: f"cast(len(list_filter(w, lambda x: x = '{t}')) as double)"
     tfs = ", ".join(f"{tf(t)} tf{i}" for i, t in enumerate(sorted(terms)))
     dfs = ", ".join(f"cast(count(*) filter (tf{i} > 0) as double) df{i}" for i in range(len(terms)))
     score = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len / avglen))" for i in range(len(terms)))
@@ -89,7 +89,7 @@ def _bm25_sql(terms: list[str], name: str = "b") -> str:
 {name}s as (select count(*) n, avg(len) avglen, {dfs} from {name}f), {name} as (select id, {score} score from {name}f, {name}s where {any_})"""
 
 
-_COS = "list_cosine_similarity(list_transform(q.embedding, x -> cast(x as double)), list_transform(e.embedding, x -> cast(x as double)))"
+_COS = "list_cosine_similarity(list_transform(q.embedding, lambda x: cast(x as double)), list_transform(e.embedding, lambda x: cast(x as double)))"
 _KNN = f"sim as (select q.vec_id query_id, e.vec_id id, q.label ql, e.label el, {_COS} similarity from embeddings q join embeddings e on q.vec_id <> e.vec_id where q.vec_id % 100 = 0)"
 _HIT = ", ".join(
     _bm25_sql(t, f"b{i}") + f", r{i} as (select id, row_number() over (order by score desc, id) as rank from b{i} qualify rank <= 10), j{i} as (select list(id order by id) relevant, min(id) top from (select doc_id id from documents where contains(lower(text), '{p}') order by doc_id limit 10)), h{i} as (select '{p}' as query, (select count(*) from r{i} where list_contains((select relevant from j{i}), r{i}.id)) / (select len(relevant) from j{i}) hit, coalesce((select 1.0::double / rank from r{i} where id = (select top from j{i})), 0.0) rr)"
