@@ -1,4 +1,4 @@
-"""Grammars of the five languages, over the token classes of `lexing`.
+"""Grammars of the five languages, over the token classes of `functions.lexing`.
 
 They accept every sound file of the language and a little more where precedence, names or types would decide.
 """

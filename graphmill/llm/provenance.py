@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmill.llm.files import file_rows, map_files
-from graphmill.llm.lexing import Lexed, language_of, lex
+from graphmill.functions.lexing import Lexed, language_of, lex
 
 # Phrases of notices, in lower case with single blanks.
 GENERATED = [
