@@ -177,7 +177,7 @@ def _python_function(node, owner: str, cls: str, local: dict[str, str]) -> Itera
             yield "tool", qn, _literal(kw.get("name")) or (first if isinstance(first, str) else node.name), node.name, node.lineno, node.end_lineno, str(described)[:500], []
         if recv.rsplit(".", 1)[-1] in TOOL_RECEIVERS and verb == "resource" and isinstance(first, str):
             yield "resource", qn, first, node.name, node.lineno, node.end_lineno, (_literal(kw.get("description")) or doc.split("\n\n")[0])[:500], []
-    for n in ast.walk(node):
+    for n in (x for part in node.body for x in ast.walk(part)):
         if isinstance(n, ast.Call):
             callee = _dotted(n.func)
             if not callee or callee == "super":

@@ -61,18 +61,17 @@ def fuse(first: DataFrame, second: DataFrame | None, k: int = 60, limit: int | N
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, floor: float | None = None, same: str | None = None, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, id, similarity): for each query its k most similar vectors of (id, embedding) by exact cosine, not itself.
 
-    The stated queries are broadcast in blocks of at most `block` rows; each batch of vectors meets a block as one matrix
+    The stated queries are broadcast in blocks of about `block` rows; each batch of vectors meets a block as one matrix
     product and only its k best per query leave the task. `same` names a column that must be equal. Null, zero or odd-sized
     vectors take no part. Ties go to the smaller id.
     """
     extra = [same] if same else []
     spark = vectors.sparkSession
-    rows = queries.select("id", "embedding", *extra).where("embedding is not null").orderBy("id")
-    n = rows.count()
+    rows = queries.select("id", "embedding", *extra).where("embedding is not null")
+    blocks = max(1, -(-rows.count() // block))
     out = None
-    numbered = rows.withColumn("__b", F.floor((F.row_number().over(W.orderBy("id")) - 1) / block)) if n > block else rows.withColumn("__b", F.lit(0))
-    for i in range(max(1, -(-n // block))):
-        part = numbered.where(F.col("__b") == i).collect()
+    for i in range(blocks):
+        part = rows.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).collect()
         dims = pd.Series([len(r["embedding"]) for r in part]).mode()
         dim = int(dims.iloc[0]) if len(dims) else 0
         part = [r for r in part if len(r["embedding"]) == dim and any(r["embedding"])]
