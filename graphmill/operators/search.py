@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -13,26 +15,18 @@ K1, B = 1.2, 0.75
 QUERY_BLOCK = 4096
 
 
-def tokens(text: str | Column) -> Column:
-    """Lower-case runs of a-z and 0-9."""
-    t = F.col(text) if isinstance(text, str) else text
-    return F.regexp_extract_all(F.lower(F.coalesce(t, F.lit(""))), F.lit("([a-z0-9]+)"), 1)
-
-
-def _equals(term: str):
-    return lambda x: x == F.lit(term)
-
-
 def bm25(docs: DataFrame, terms: list[str], k1: float = K1, b: float = B) -> DataFrame:
-    """(id, score) for every document (id, text) that holds one of the terms. No terms or only blank ones: no rows.
+    """(id, score) for every document (id, text) that holds one of the terms, words being lower-case runs of a-z and 0-9. No terms or only
+    blank ones: no rows.
 
     One pass counts each document's terms; only documents that hold a term leave it, and the statistics are one row. Empty texts
     count towards the average length.
     """
     terms = sorted({t.lower() for t in terms if t.strip()})
-    tok = docs.select("id", tokens("text").alias("w")).select("id", F.size("w").alias("len"), "w")
-    counts = [F.size(F.filter("w", _equals(t))).cast("double") for t in terms]
-    tf = tok.select("id", F.col("len").cast("double").alias("len"), *[c.alias(f"tf{i}") for i, c in enumerate(counts)])
+    text = F.lower(F.coalesce("text", F.lit("")))
+    # a plain search spares the pattern on documents without the term
+    counts = [F.when(F.contains(text, F.lit(t)), F.regexp_count(text, F.lit(f"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])"))).otherwise(0).cast("double") for t in terms]
+    tf = docs.select("id", F.regexp_count(text, F.lit("[a-z0-9]+")).cast("double").alias("len"), *[c.alias(f"tf{i}") for i, c in enumerate(counts)])
     stats = tf.agg(F.count("*").alias("n"), F.avg("len").alias("avglen"), *[F.sum((F.col(f"tf{i}") > 0).cast("double")).alias(f"df{i}") for i in range(len(terms))])
     joined = tf.where(F.lit(False) if not terms else F.expr(" or ".join(f"tf{i} > 0" for i in range(len(terms))))).crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
