@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -24,3 +27,20 @@ def local_session(cpus: int | None = None, app: str = "graphmill", shuffle_parti
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers, wherever they start; once per Spark context.
+
+    Spark serves the archive from the driver to every executor, so nothing has to be installed on them.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_graphmill_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="graphmill-code-"), "graphmill.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(archive)
+    sc._graphmill_shipped = True

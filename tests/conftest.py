@@ -1,8 +1,10 @@
 import pytest
 
-from graphmill.session import local_session
+from graphmill.session import local_session, ship
 
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session(4, "tests", shuffle_partitions=4)
+    session = local_session(4, "tests", shuffle_partitions=4)
+    ship(session)
+    return session
