@@ -23,7 +23,7 @@ from graphmill.llm.splitting import split
 from graphmill.llm.tokens import VOCABULARY, encode
 from graphmill.sources.tables import table
 
-CAPACITY, SEGMENTS, LOSS_CAPACITY, SHARD_ITEMS = 4096, 64, 4032, 8192
+CAPACITY, SEGMENTS, LOSS_CAPACITY, SHARD_ITEMS = 4096, 64, 4080, 8192
 
 
 def sizes(text: str, path: str = VOCABULARY) -> tuple[int, int, np.ndarray]:
