@@ -49,6 +49,16 @@ def find_callees(s: SparkSession, d: str) -> DataFrame:
     return lk.callees(_calls(s, d), defs(s, d)).select("repo", "caller_qn", "callee_qn", "line")
 
 
+def context_tool(s: SparkSession, d: str) -> DataFrame:
+    """Every function's definition with how many functions call it and how many of its repo it calls."""
+    fn = _functions(s, d)
+    calls = _calls(s, d)
+    ins = lk.callers(calls, fn).groupBy("repo", F.col("callee_qn").alias("qualified_name")).agg(F.countDistinct("caller_qn").alias("n_callers"))
+    outs = lk.callees(calls, defs(s, d)).groupBy("repo", F.col("caller_qn").alias("qualified_name")).agg(F.countDistinct("callee_qn").alias("n_callees"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return fn.join(ins, ["repo", "qualified_name"], "left").join(outs, ["repo", "qualified_name"], "left").select("repo", "qualified_name", "file_path", "line_start", zero("n_callers"), zero("n_callees"))
+
+
 def _folder(path: str) -> F.Column:
     return F.regexp_replace(path, "/[^/]*$", "")
 
@@ -208,7 +218,7 @@ _STEPS = "st as (select l_orderkey process, count(*) step_count, string_agg(memb
 
 QUERIES = {
     f.__name__: f
-    for f in (find_definition, find_symbol, test_path, find_callers, find_callees, find_modules, find_processes, process_detail, repo_stats, find_routes, route_handler, find_tables, find_tools, table_accessors, subclass_tree, upsert_latest, edge_merge, poly_target, sha_scan, sha_skip, embed_update, unembedded, pk_check)
+    for f in (find_definition, find_symbol, test_path, find_callers, find_callees, context_tool, find_modules, find_processes, process_detail, repo_stats, find_routes, route_handler, find_tables, find_tools, table_accessors, subclass_tree, upsert_latest, edge_merge, poly_target, sha_scan, sha_skip, embed_update, unembedded, pk_check)
 } | {"normalize_path": normalized_paths}
 SQL = {
     "find_definition": f"with {_DEFS}, b as (select repo, qualified_name, max(struct_pack(kind := kind, file_path := file_path, line_start := line_start, line_end := line_end)) m from d group by 1, 2) select distinct b.repo, b.qualified_name, m.kind, m.file_path, m.line_start, m.line_end from b join calls on calls.repo = b.repo and calls.callee_qn = b.qualified_name",
@@ -216,6 +226,7 @@ SQL = {
     "test_path": "with p as (select distinct repo, path from file_node), q as (select repo, concat(case when path < 'b' then 'tests/' when path < 'm' then 'x/test_' else '' end, path) as path from p) select repo, cast(sum(case when regexp_matches(path, '^(tests/|test/|test_)|/tests/|/test/|/test_') then 1 else 0 end) as bigint) n_test, count(*) n_files from q group by 1",
     "find_callers": f"with {_DEFS} select calls.repo, callee_qn, caller_qn, file_path, line from calls join (select repo, qualified_name, min(struct_pack(f := file_path, l := line_start)).f file_path from function_node where qualified_name is not null group by 1, 2) f on f.repo = calls.repo and f.qualified_name = caller_qn where callee_qn is not null",
     "find_callees": f"with {_DEFS} select repo, caller_qn, callee_qn, line from calls where caller_qn is not null and exists (select 1 from df where df.repo = calls.repo and df.qualified_name = calls.callee_qn)",
+    "context_tool": f"with {_DEFS}, i as (select repo, callee_qn q, count(distinct caller_qn) n from calls where exists (select 1 from df where df.repo = calls.repo and df.qualified_name = caller_qn) group by 1, 2), o as (select repo, caller_qn q, count(distinct callee_qn) n from calls where exists (select 1 from df where df.repo = calls.repo and df.qualified_name = callee_qn) group by 1, 2) select df.repo, df.qualified_name, df.file_path, df.line_start, coalesce(i.n, 0) n_callers, coalesce(o.n, 0) n_callees from df left join i on i.repo = df.repo and i.q = df.qualified_name left join o on o.repo = df.repo and o.q = df.qualified_name",
     "find_modules": "with m as (select distinct repo, regexp_replace(file_path, '/[^/]*$', '') as label, qualified_name member, file_path from function_node where repo is not null and qualified_name is not null and file_path is not null), g as (select repo, label, count(distinct member) size, bool_or(not regexp_matches(file_path, '^(tests/|test/|test_)|/tests/|/test/|/test_')) r from m group by 1, 2) select g.repo, g.label, size, (select string_agg(member, ',' order by member) from (select distinct member from m where m.repo = g.repo and m.label = g.label order by member limit 5)) as sample from g where size > 1 and r",
     "find_processes": f"with {_STEPS} select * from st",
     "process_detail": f"with {_STEPS} select o_orderkey process, o_orderpriority summary, coalesce(step_count, 0) step_count, coalesce(members, '') members from orders left join st on st.process = o_orderkey",
