@@ -38,11 +38,11 @@ def entry_points(s: SparkSession, d: str) -> DataFrame:
 
 def _chains(s: SparkSession, d: str) -> DataFrame:
     e = _edges(s, d)
-    return g.chains(e, g.entry_points(e), longest=4)
+    return g.chains(e, g.entry_points(e))
 
 
 def chains(s: SparkSession, d: str) -> DataFrame:
-    """All simple call chains of two to four functions from the entry points."""
+    """All simple call chains of two to eight functions from the entry points."""
     return _chains(s, d).select("repo", F.array_join("path", "|").alias("path"))
 
 

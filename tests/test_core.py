@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from graphmill.functions.keys import norm_id
 from graphmill.functions.paths import camel_to_snake, module_name, nextjs_path, normalize_path
 from graphmill.operators import extract, graph, hierarchy, ledger, lookup, orphans, resolve, scopes, search, upserts
+from graphmill.plans import code_graph
 from graphmill.sources import scan
 
 
@@ -194,6 +195,16 @@ def test_graph_operators(spark):
     assert graph.cohesion(one, spark.createDataFrame([("r", "a", "A"), ("r", "q", "Q")], "repo string, node string, label string")).where("label = 'A'").first().cohesion == 1.0
 
 
+def test_chain_queries_go_to_eight_nodes(spark, tmp_path):
+    names = [f"m.f{i}" for i in range(10)]
+    spark.createDataFrame([("r", n, f"d{i}/a.py") for i, n in enumerate(names)], "repo string, qualified_name string, file_path string").write.parquet(f"{tmp_path}/function_node.parquet")
+    spark.createDataFrame([("r", a, b) for a, b in zip(names, names[1:])], "repo string, caller_qn string, callee_qn string").write.parquet(f"{tmp_path}/call_site.parquet")
+    want = ["|".join(names[:n]) for n in range(2, 9)]
+    assert rows(code_graph.chains(spark, str(tmp_path)), "path") == sorted((p,) for p in want)
+    assert rows(code_graph.chain_score(spark, str(tmp_path)), "path_id", "score") == sorted((p, n * (n - 1)) for n, p in enumerate(want, 2))
+    assert code_graph.top_processes(spark, str(tmp_path)).where("rank = 1").first().path_id == want[-1]
+
+
 def test_components_and_louvain(spark):
     rng = random.Random(5)
     pairs = [(f"{g}{a}", f"{g}{b}") for g in "xyz" for a in range(6) for b in range(a)] + [(f"l{i}", f"l{i + 1}") for i in range(40)]
