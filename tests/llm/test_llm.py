@@ -288,6 +288,23 @@ def test_similar_recall(spark, tables, axes):
     assert len(want & set(got)) / len(want) > 0.9 and all(abs(v - s[int(a[1:]), int(b[1:])]) < 1e-4 for (a, b), v in got.items())
 
 
+def test_similar_two_axes_meet_as_often_as_one():
+    rng = np.random.default_rng(3)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    (one, two), n = (similar.plan(rows, similar.DIM) for rows in (262_144, 262_145)), 400
+    assert (one[1], two[1]) == (1, 2)
+    for cosine in (0.5, 0.6, 0.7):
+        a, b = unit(rng.normal(size=(n, similar.DIM))), rng.normal(size=(n, similar.DIM))
+        b = cosine * a + np.sqrt(1 - cosine**2) * unit(b - (a * b).sum(1, keepdims=True) * a)
+        x = np.zeros((2 * n, similar.padded(similar.DIM)), np.float32)
+        x[:, : similar.DIM] = np.concatenate((a, b))
+        met = []
+        for tables, axes in (one, two):
+            k = similar.keys_of(x, tables, axes)
+            met.append(np.mean([len(set(p) & set(q)) > 0 for p, q in zip(k[:n].tolist(), k[n:].tolist())]))
+        assert met[1] > met[0] - 0.08, (cosine, met)
+
+
 def test_similar_edges(spark):
     t, later = datetime.datetime(2026, 1, 1), datetime.datetime(2026, 2, 1)
     v = _vectors(3, 96)
