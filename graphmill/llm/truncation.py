@@ -1,7 +1,7 @@
 """p7: outputs that lost their end, by hashed logistic regression on how a value ends.
 
 Positives are made by cutting intact values at random places: left as they are, with a marker put in place of the rest, or with
-quotes and brackets closed again. Features are of the closing characters and words of the last text in the value, its punctuation,
+quotes and brackets closed again; a share of them exactly at the strikingly frequent lengths. Features are of the closing characters and words of the last text in the value, its punctuation,
 what is still open, and the length's distance to lengths that are strikingly frequent. The training set is a bounded sample
 (`SAMPLE` values, those with the smallest hashes, each of at most `SAMPLE_CHARS` characters); a first model drops the
 values that were cut already from the intact ones, then the model is fitted again. All values are scored, whole.
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from graphmill.functions.keys import norm_id
 from graphmill.sources.tables import table
 
-BITS, SAMPLE, SAMPLE_CHARS, LEAST, EPOCHS, SEED, DROP, TEXT_CUTS, FOUND = 16, 8000, 20_000, 20, 4, 7, 0.3, 4, 0.2
+BITS, SAMPLE, SAMPLE_CHARS, LEAST, EPOCHS, SEED, DROP, TEXT_CUTS, LIMIT_CUTS, FOUND = 16, 8000, 20_000, 20, 4, 7, 0.3, 4, 0.25, 0.2
 # Markers that stand for a missing rest.
 MARKERS = ["...", "…", "[...]", "[…]", "[truncated]", "(truncated)", "<truncated>", "... [truncated]", "…[truncated]", "[cut]", "<snip>", "[{n} more chars]", "... [{n} chars]", "[... {n} chars]", "... (+{n} chars)", "… (+{n} chars)", "[+{n} chars]", "... {n} more characters", "[output truncated]", "--- truncated ---"]
 _MARK = re.compile(r"(?:\.\.\.|…|\[[^\[\]]{0,40}\]|\([^()]{0,40}\)|<[^<>]{0,40}>|\*\*\*|---)\W*$")
@@ -147,6 +147,13 @@ def cut(text: str, rng: random.Random) -> str | None:
     return head + rng.choice(["", " ", "\n"]) + mark
 
 
+def limit_cuts(text: str, limits: frozenset[int], rng: random.Random) -> list[str]:
+    """For a share of values, the value cut exactly at one of the limits that it is longer than."""
+    below = sorted(x for x in limits if x < len(text))
+    times = 1 if text.lstrip()[:1] in ("{", "[") else TEXT_CUTS
+    return [text[: rng.choice(below)] for _ in range(times if below else 0) if rng.random() < LIMIT_CUTS]
+
+
 class Model:
     def __init__(self) -> None:
         self.w = np.zeros(1 << BITS)
@@ -186,6 +193,8 @@ def train(values: list[str], limits: frozenset[int]) -> Model:
     intact = [hashed(features(v, limits)) for v in known]
     # plain texts are few among the values but have more ways to end, so they are cut more often
     made = [c for v in known for _ in range(1 if v.lstrip()[:1] in ("{", "[") else TEXT_CUTS) if (c := cut(v, rng)) is not None]
+    at_limit = random.Random(SEED + 1)
+    made += [c for v in known for c in limit_cuts(v, limits, at_limit)]
     positive = [hashed(features(c, limits)) for c in made]
     rows = intact + positive
     labels = np.concatenate((np.zeros(len(intact)), np.ones(len(positive))))

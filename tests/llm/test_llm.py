@@ -158,6 +158,17 @@ def test_truncation_on_held_out_cuts():
     assert intact < 0.03 and lost > 0.9, (intact, lost)
 
 
+def test_truncation_learns_lengths_at_a_limit():
+    rng = random.Random(5)
+    text = lambda n: " ".join(rng.choice(["alfa", "beta", "gama", "zeta", "iota"]) for _ in range(n))
+    limits = frozenset([204])  # 41 words, the last one whole
+    values = [text(rng.choice([n for n in range(20, 90) if n != 41])) + rng.choice([".", ".", ""]) for _ in range(600)]
+    model = truncation.train(values + [text(41) for _ in range(60)], limits)
+    score = lambda v: model.score(truncation.hashed(truncation.features(v, limits)))
+    at, off = [np.mean([score(text(n)) for _ in range(200)]) for n in (41, 51)]
+    assert model.w[truncation.hashed(["limit:0"])][0] > 0 and at > max(off, truncation.FOUND), (at, off)
+
+
 def test_truncation_edges(spark):
     t = datetime.datetime(2026, 1, 1)
     later = datetime.datetime(2026, 2, 1)
