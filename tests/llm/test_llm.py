@@ -169,6 +169,26 @@ def test_truncation_learns_lengths_at_a_limit():
     assert model.w[truncation.hashed(["limit:0"])][0] > 0 and at > max(off, truncation.FOUND), (at, off)
 
 
+def test_truncation_inside_a_value():
+    """A string that lost its end while the rest of the JSON value follows, and decoys that only look alike."""
+    rng = random.Random(6)
+    values = [_value(rng) for _ in range(800)] + ['{"summary": "Old leases were moved.", "ref": "%032x"}' % rng.getrandbits(128) for _ in range(80)]
+    model = truncation.train(values, frozenset())
+    lost = lambda v: max(model.score(truncation.hashed(e)) for e in truncation.ends(v, frozenset())) > truncation.FOUND
+    assert all(map(lost, ['{"summary": "The planner moved stale leases out of ev", "notes": "All done."}', '{"summary": "Open tables before a worker rest…", "notes": "All done."}', '{"notes": "The planner counts open ta [output clipped at 90 chars]", "risk": "low"}', '[{"note": "Limits and the planner moved sta"}, {"note": "Every store restarts."}]']))
+    assert not any(map(lost, ['{"summary": "The planner moved stale leases.", "notes": "Every store restarts."}', '{"summary": "The viewer prints [truncated] for long logs.", "notes": "Every store counts."}', '{"summary": "Old leases were moved.", "ref": "%032x"}' % rng.getrandbits(128)]))
+    assert truncation.parsed("[" * 100_000) is None and truncation.strings({"a": [{"b": "x"}, "y"]}) == [("/a[]/b", "x"), ("/a[]", "y")]
+
+
+def test_truncation_limits_by_provider(spark):
+    """A limit of one provider is found however rare it is; lengths that many equal values share are none."""
+    rng = random.Random(7)
+    made = lambda n: "".join(rng.choices("abcde fgh.", k=n))
+    data = [("p", made(160)) for _ in range(12)] + [("p", made(rng.randrange(50, 900))) for _ in range(300)] + [("q", made(rng.randrange(50, 900))) for _ in range(300)] + [("q", "Approved") for _ in range(300)]
+    got = truncation.frequent_lengths(truncation.length_counts(spark.createDataFrame(data, "provider string, output string")))
+    assert got == {"p": frozenset([160]), None: frozenset([160])}
+
+
 def test_truncation_edges(spark):
     t = datetime.datetime(2026, 1, 1)
     later = datetime.datetime(2026, 2, 1)
