@@ -130,7 +130,7 @@ def camel_snake(s: SparkSession, d: str) -> DataFrame:
 _E = "f as (select distinct repo, qualified_name from function_node), e as (select distinct c.repo, caller_qn source, callee_qn target from call_site c where caller_qn <> callee_qn and exists (select 1 from f where f.repo = c.repo and f.qualified_name = caller_qn) and exists (select 1 from f where f.repo = c.repo and f.qualified_name = callee_qn))"
 _L = "lab as (select repo, qualified_name node, regexp_replace(min(file_path), '/[^/]*$', '') as label from function_node where qualified_name is not null group by 1, 2)"
 _DEG = "o as (select repo, source node from e group by 1, 2), i as (select repo, target node, count(*) n from e group by 1, 2), deg as (select o.repo, o.node, coalesce(i.n, 0) n_in from o left join i using (repo, node)), ent as (select repo, node from deg where n_in = (select min(n_in) from deg x where x.repo = deg.repo))"
-_CH = "c1 as (select repo, [node] path from ent), c2 as (select c1.repo, list_append(path, target) as path from c1 join e on e.repo = c1.repo and e.source = path[-1] where not list_contains(path, target)), c3 as (select c2.repo, list_append(path, target) as path from c2 join e on e.repo = c2.repo and e.source = path[-1] where not list_contains(path, target)), c4 as (select c3.repo, list_append(path, target) as path from c3 join e on e.repo = c3.repo and e.source = path[-1] where not list_contains(path, target)), ch as (select * from c2 union all select * from c3 union all select * from c4)"
+_CH = "c1 as (select repo, [node] path from ent), " + ", ".join(f"c{k} as (select c.repo, list_append(path, target) as path from c{k - 1} c join e on e.repo = c.repo and e.source = path[-1] where not list_contains(path, target))" for k in range(2, g.MAX_PATH + 1)) + ", ch as (" + " union all ".join(f"select * from c{k}" for k in range(2, g.MAX_PATH + 1)) + ")"
 _SC = "x as (select repo, array_to_string(path, '|') path_id, len(path) n, unnest(path) node from ch), sc as (select x.repo, path_id, cast(max(n) * greatest(count(distinct label) - 1, 0) as bigint) score from x left join lab on lab.repo = x.repo and lab.node = x.node group by 1, 2), pos as (select * from sc where score > 0)"
 _U = "u as (select distinct repo, least(source, target) a, greatest(source, target) b from e)"
 _S = "s as (select distinct repo, file_path, line_start as start, line_end + 1 as stop, qualified_name id from (select repo, file_path, line_start, line_end, qualified_name from function_node union all select repo, file_path, line_start, line_end, qualified_name from class_node))"
