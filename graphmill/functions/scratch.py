@@ -31,10 +31,11 @@ class Scratch:
         self.base = f"{shared_dir(spark)}/graphmill-{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, *by: str) -> DataFrame:
+        """The frame, written and read back; `by` names columns that divide it into folders, read one by one where filtered."""
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
         # the written schema is known, so no job is spent on reading footers
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path

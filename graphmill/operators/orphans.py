@@ -1,24 +1,34 @@
 """References to records that do not exist, kept as incremental keyed state.
 
-State is two tables. The *parent index* has per (scope, key) the earliest creation time and whether it is deleted.
-The *reference state* has one row per referring record with its reference, its time and its present reason:
-null (resolved), `absent`, `deleted` or `late` (the parent was created after the record).
+State is two tables. The *parent index* has per (scope, key) the creation time and whether it is deleted. The *reference
+state* has one row per referring record with its reference, its time and its present reason: null (resolved), `absent`,
+`deleted` or `late` (the parent was created after the record).
 
 `apply` takes one increment of references and parents. New references probe the parent index; parents that arrive
 settle the orphans waiting for them; deletions reopen references that were resolved. Only references whose
-key is touched by the increment are judged again; all others are carried over.
+key is touched by the increment are judged again (`changes`); all others are carried over. `fold` runs many increments over
+a log of such changes, so an increment writes what it changes and not the state.
 
-Nulls and blanks: a null or blank reference refers to nothing and is not kept; a record without key is not kept; a
-null time never counts as too early or too late. Repeated records must be reduced to the valid row beforehand
-(`latest`); exact copies within an increment are merged. Empty tables give empty state. Other columns are ignored.
+Order: a record's `version` decides between its rows, so an older row that arrives late loses; without versions the later
+increment wins. A parent with versions has the creation time of its greatest one, a parent without has its earliest.
+
+Nulls and blanks: a null or blank reference refers to nothing; with a version it is kept, since it ends what an older row
+referred to, but never is an orphan. A record without key is not kept; a null time never counts as too early or too late.
+Of rows of one record with equal versions the one with the greatest (at, scope, ref) holds. Empty tables give empty state.
+Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REF_COLS = ["table_name", "record_key", "scope", "ref", "at"]
+from graphmill.functions.scratch import Scratch
+
+RECORD, REF_COLS = ["table_name", "record_key"], ["table_name", "record_key", "scope", "ref", "at"]
 
 
 def latest(df: DataFrame, key: str, version: str, cols: list[str]) -> DataFrame:
@@ -30,10 +40,17 @@ def latest(df: DataFrame, key: str, version: str, cols: list[str]) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(picked).select(key, F.col("__m.__v").alias(version), *[F.col(f"__m.__{c}").alias(c) for c in cols])
 
 
+def _versioned(df: DataFrame) -> DataFrame:
+    return df if "version" in df.columns else df.withColumn("version", F.lit(None).cast("timestamp"))
+
+
 def merge_parents(index: DataFrame | None, arrived: DataFrame) -> DataFrame:
-    """Parent index with `arrived` (scope, key, created, deleted) merged in: earliest creation, deleted if ever deleted."""
+    """Parent index with `arrived` (scope, key, created, deleted, perhaps version) merged in; deleted if ever deleted."""
+    arrived = _versioned(arrived).select("scope", "key", "created", "deleted", "version")
     both = arrived if index is None else index.unionByName(arrived)
-    return both.where("key is not null").groupBy("scope", "key").agg(F.min("created").alias("created"), F.max("deleted").alias("deleted"))
+    last = F.max(F.when(F.col("version").isNotNull(), F.struct("version", "created")))
+    merged = both.where("key is not null").groupBy("scope", "key").agg(F.min("created").alias("created"), F.max("deleted").alias("deleted"), last.alias("m"))
+    return merged.select("scope", "key", F.when(F.col("m").isNull(), F.col("created")).otherwise(F.col("m.created")).alias("created"), "deleted", F.col("m.version").alias("version"))
 
 
 def judge(refs: DataFrame, index: DataFrame) -> DataFrame:
@@ -41,23 +58,52 @@ def judge(refs: DataFrame, index: DataFrame) -> DataFrame:
     which AQE splits where one parent is named by a large share of all rows."""
     idx = index.select(F.col("scope").alias("__s"), F.col("key").alias("__k"), "created", "deleted")
     joined = refs.join(idx, (F.col("scope") == F.col("__s")) & (F.col("ref") == F.col("__k")), "left")
-    reason = F.when(F.col("__k").isNull(), "absent").when(F.col("deleted"), "deleted").when(F.col("created") > F.col("at"), "late")
-    return joined.select(*REF_COLS, reason.alias("reason"))
+    reason = F.when(F.col("ref").isNull(), None).when(F.col("__k").isNull(), "absent").when(F.col("deleted"), "deleted").when(F.col("created") > F.col("at"), "late")
+    return joined.select(*REF_COLS, "version", reason.alias("reason"))
 
 
-def apply(state: DataFrame | None, index: DataFrame | None, new_refs: DataFrame, arrived: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One increment: returns the new reference state and the new parent index. `state`/`index` are None at first."""
-    new_index = merge_parents(index, arrived)
-    fresh = new_refs.where("record_key is not null and ref is not null").select(*REF_COLS)
+def changes(state: DataFrame | None, new_index: DataFrame, new_refs: DataFrame, arrived: DataFrame) -> DataFrame:
+    """The rows of the reference state that an increment adds or judges anew, against the index after it."""
+    fresh = _versioned(new_refs).where("record_key is not null and (ref is not null or version is not null)")
+    fresh = fresh.groupBy(*RECORD).agg(F.max(F.struct("version", "at", "scope", "ref")).alias("m")).select(*RECORD, "m.scope", "m.ref", "m.at", "m.version")
     if state is None:
-        return judge(fresh, new_index), new_index
+        return judge(fresh, new_index)
+    known = state.select(*RECORD, F.col("version").alias("__v"))
+    fresh = fresh.join(known, RECORD, "left").where("__v is null or version is null or version >= __v").drop("__v")
     touched = arrived.select(F.col("scope").alias("__s"), F.col("key").alias("__k")).distinct()
-    on = (F.col("scope") == F.col("__s")) & (F.col("ref") == F.col("__k"))
-    replaced = fresh.select(F.col("table_name").alias("__t"), F.col("record_key").alias("__r")).distinct()
-    kept = state.join(replaced, (F.col("table_name") == F.col("__t")) & (F.col("record_key") == F.col("__r")), "left_anti")
-    again = kept.join(touched, on, "left_semi").select(*REF_COLS)
-    still = kept.join(touched, on, "left_anti")
-    return still.unionByName(judge(again.unionByName(fresh), new_index)), new_index
+    again = state.join(touched, (F.col("scope") == F.col("__s")) & (F.col("ref") == F.col("__k")), "left_semi")
+    again = again.join(fresh.select(*RECORD), RECORD, "left_anti").select(*REF_COLS, "version")
+    return judge(again.unionByName(fresh), new_index)
+
+
+def apply(state: DataFrame | None, index: DataFrame | None, new_refs: DataFrame, arrived: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One increment: returns the new reference state and the new parent index, both written so that plans do not grow from
+    increment to increment. `state`/`index` are None at first."""
+    scratch = Scratch(new_refs.sparkSession, "orphans")
+    new_index = scratch.save(merge_parents(index, arrived))
+    changed = scratch.save(changes(state, new_index, new_refs, arrived))
+    if state is None:
+        return changed, new_index
+    return scratch.save(state.join(changed.select(*RECORD), RECORD, "left_anti").unionByName(changed)), new_index
+
+
+def current(log: DataFrame) -> DataFrame:
+    """The reference state that a log of changes amounts to: of each record the row of the latest increment, its `seq`."""
+    cols = [c for c in log.columns if c not in (*RECORD, "seq")]
+    return log.groupBy(*RECORD).agg(F.max(F.struct("seq", *cols)).alias("m")).select(*RECORD, *[F.col(f"m.{c}").alias(c) for c in cols])
+
+
+def fold(increments: Iterable[tuple[DataFrame, DataFrame]], scratch: Scratch) -> DataFrame | None:
+    """The reference state after increments of (new_refs, arrived) in their order; each writes its changes and its arrivals only."""
+    log: list[DataFrame] = []
+    index = None
+    for seq, (refs, arrived) in enumerate(increments):
+        merged = merge_parents(index, arrived)
+        state = current(reduce(DataFrame.unionByName, log)) if log else None
+        log.append(scratch.save(changes(state, merged, refs, arrived).withColumn("seq", F.lit(seq))))
+        arrived = _versioned(arrived).select("scope", "key", "created", "deleted", "version")
+        index = arrived if index is None else index.unionByName(arrived)
+    return current(reduce(DataFrame.unionByName, log)) if log else None
 
 
 def snapshot(state: DataFrame) -> DataFrame:

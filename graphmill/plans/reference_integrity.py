@@ -6,45 +6,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmill.functions.keys import BLANKS, nonblank, norm_id
+from graphmill.functions.scratch import Scratch
 from graphmill.operators import orphans
 from graphmill.sources.tables import table
 
 _NO_TIME = "cast(null as timestamp)"
+INCREMENT_MONTHS = 12
 
 
 def references(spark: SparkSession, d: str) -> DataFrame:
-    """All references of the three tables as (table_name, record_key, scope, ref, at), valid rows only."""
-    tasks = table(spark, d, "tasks").select(norm_id("id").alias("id"), norm_id("project_id").alias("ref"), "created_at", "updated_at")
-    t = orphans.latest(tasks, "id", "updated_at", ["created_at", "ref"])
-    emb = table(spark, d, "task_embeddings").select(norm_id("task_id").alias("id"), "created_at")
-    e = emb.where("id is not null").groupBy("id").agg(F.max("created_at").alias("created_at"))
-    calls = table(spark, d, "call_site").select("call_id", "repo", nonblank("callee_qn").alias("ref"), "scanned_at")
-    c = calls.where("ref is not null").groupBy("call_id").agg(F.max(F.struct("scanned_at", "repo", "ref")).alias("m"))
-    return (
-        t.select(F.lit("tasks").alias("table_name"), F.col("id").alias("record_key"), F.lit("project").alias("scope"), "ref", F.col("created_at").alias("at"))
-        .unionByName(e.select(F.lit("task_embeddings").alias("table_name"), F.col("id").alias("record_key"), F.lit("task").alias("scope"), F.col("id").alias("ref"), F.col("created_at").alias("at")))
-        .unionByName(c.select(F.lit("call_site").alias("table_name"), F.col("call_id").cast("string").alias("record_key"), F.concat(F.lit("qn:"), F.col("m.repo")).alias("scope"), F.col("m.ref").alias("ref"), F.col("m.scanned_at").alias("at")))
-    )
+    """All rows that refer, in the three tables, as (table_name, record_key, scope, ref, at, version), older states included."""
+    cols = lambda name, key, scope, ref, at, version: (F.lit(name).alias("table_name"), key.alias("record_key"), scope.alias("scope"), ref.alias("ref"), F.col(at).alias("at"), F.coalesce(version, F.lit("0001-01-01").cast("timestamp")).alias("version"))
+    tasks = table(spark, d, "tasks").select(*cols("tasks", norm_id("id"), F.lit("project"), norm_id("project_id"), "created_at", "updated_at"))
+    emb = table(spark, d, "task_embeddings").select(*cols("task_embeddings", norm_id("task_id"), F.lit("task"), norm_id("task_id"), "created_at", "created_at"))
+    calls = table(spark, d, "call_site").select(*cols("call_site", F.col("call_id").cast("string"), F.concat(F.lit("qn:"), F.col("repo")), nonblank("callee_qn"), "scanned_at", "scanned_at"))
+    return tasks.unionByName(emb).unionByName(calls.where("ref is not null"))
 
 
 def parents(spark: SparkSession, d: str) -> DataFrame:
-    """All records that can be referred to as (scope, key, created, deleted)."""
-    p = table(spark, d, "projects").select(F.lit("project").alias("scope"), norm_id("id").alias("key"), F.col("created_at").alias("created"), F.col("deleted_at").isNotNull().alias("deleted"))
-    tasks = table(spark, d, "tasks").select(norm_id("id").alias("key"), "created_at", "updated_at")
-    t = orphans.latest(tasks, "key", "updated_at", ["created_at"]).select(F.lit("task").alias("scope"), "key", F.col("created_at").alias("created"), F.lit(False).alias("deleted"))
-    out = p.unionByName(t)
+    """All events of records that can be referred to as (scope, key, created, deleted, version, since): a project arrives when it is
+    created and again, as a deletion, when it is deleted; a task with each of its states; names of code are there from the start."""
+    none = F.expr(_NO_TIME)
+    p = table(spark, d, "projects").select(norm_id("id").alias("key"), "created_at", "deleted_at")
+    made = p.select(F.lit("project").alias("scope"), "key", F.col("created_at").alias("created"), F.lit(False).alias("deleted"), none.alias("version"), F.col("created_at").alias("since"))
+    gone = p.where("deleted_at is not null").select(F.lit("project").alias("scope"), "key", none.alias("created"), F.lit(True).alias("deleted"), none.alias("version"), F.col("deleted_at").alias("since"))
+    t = table(spark, d, "tasks").select(norm_id("id").alias("key"), "created_at", F.coalesce("updated_at", F.lit("0001-01-01").cast("timestamp")).alias("version"))
+    t = t.select(F.lit("task").alias("scope"), "key", F.col("created_at").alias("created"), F.lit(False).alias("deleted"), "version", F.col("version").alias("since"))
+    out = made.unionByName(gone).unionByName(t)
     for name in ("function_node", "class_node", "symbol_node"):
-        q = table(spark, d, name).select(F.concat(F.lit("qn:"), F.col("repo")).alias("scope"), F.col("qualified_name").alias("key"), F.expr(_NO_TIME).alias("created"), F.lit(False).alias("deleted"))
-        out = out.unionByName(q)
+        out = out.unionByName(table(spark, d, name).select(F.concat(F.lit("qn:"), F.col("repo")).alias("scope"), F.col("qualified_name").alias("key"), none.alias("created"), F.lit(False).alias("deleted"), none.alias("version"), none.alias("since")).distinct())
     return out
 
 
-def _state(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.apply(None, None, references(spark, d), parents(spark, d))[0]
+def _state(spark: SparkSession, d: str, months: int = INCREMENT_MONTHS) -> DataFrame:
+    """The reference state after all increments of `months` calendar months, each with the rows and parents dated in it."""
+    scratch = Scratch(spark, "orphans")
+    slot = lambda c: F.greatest(F.coalesce(F.floor((F.year(c) * 12 + F.month(c)) / months).cast("int"), F.lit(0)), F.lit(0)).alias("slot")
+    refs = scratch.save(references(spark, d).where("record_key is not null").select("*", slot("version")), "slot")
+    arrived = scratch.save(parents(spark, d).where("key is not null").select("scope", "key", "created", "deleted", "version", slot("since")), "slot")
+    slots = sorted({r.slot for r in refs.select("slot").unionByName(arrived.select("slot")).distinct().collect()})  # one per `months` of the calendar
+    at = lambda df, n: df.where(F.col("slot") == n).drop("slot")
+    state = orphans.fold(((at(refs, n), at(arrived, n)) for n in slots or [0]), scratch)
+    return state
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Every record whose reference does not resolve, from the state after loading the whole tables."""
+    """Every record whose reference does not resolve, from the state after all increments."""
     return _state(spark, d).where("reason is not null").select("table_name", "record_key")
 
 

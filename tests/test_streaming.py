@@ -14,11 +14,12 @@ def _t(n):
 
 def test_orphan_stream_equals_one_load(spark, tmp_path):
     data = [("t", f"r{i}", "s", f"p{i % 5}", _t(10), None, None, None) for i in range(8)] + [(None, None, "s", None, None, f"p{i}", _t(3 + 4 * i), i == 1) for i in range(4)]
-    for k in range(3):
-        spark.createDataFrame(data[k::3], CHANGES).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    for k in range(6):
+        spark.createDataFrame(data[k::6], CHANGES).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
     stream = spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    maintain.maintain_orphans(stream, f"{tmp_path}/state", f"{tmp_path}/cp").awaitTermination(120)
-    got = maintain.latest_version(spark, f"{tmp_path}/state/refs", maintain.REF_SCHEMA)
+    maintain.maintain_orphans(stream, f"{tmp_path}/state", f"{tmp_path}/cp", compact_every=2).awaitTermination(120)
+    got = maintain.orphan_state(spark, f"{tmp_path}/state")
+    assert {n for _, n in maintain._entries(spark, f"{tmp_path}/state/refs")} == {"base-3", "delta-4", "base-5", "delta-5"}
     df = spark.createDataFrame(data, CHANGES)
     want, _ = orphans.apply(None, None, df.where("record_key is not null").select(*orphans.REF_COLS), df.where("record_key is null").select("scope", "key", "created", "deleted"))
     rows = lambda x: sorted((r.record_key, r.reason) for r in x.collect())
