@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -108,26 +108,31 @@ def label_tokens(members: DataFrame) -> DataFrame:
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """(node, component): the least node reachable over undirected edges (a, b), by alternating small-star and large-star joins.
 
-    Each round replaces edges by ones to the least neighbour, so rounds grow with the logarithm of the component's size.
+    Each round replaces edges by ones to the least neighbour, so rounds grow with the logarithm of the component's size; whether
+    a round changed anything is observed while its edges are written. Raises where `max_rounds` rounds do not end it.
     """
     scratch = Scratch(edges.sparkSession, name)
     cur = scratch.save(edges.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     nodes = cur.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    cur = cur.where("a <> b")
     last = None
     for _ in range(max_rounds):
-        both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(cur.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        star = cur.where("a <> b")
+        both = star.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(star.select(F.col("b").alias("u"), F.col("a").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = scratch.save(both.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct())
         low2 = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
         small = large.join(low2, F.col("b") == F.col("u")).select(F.col("m").alias("x"), "a", "b")
         nxt = small.select(F.col("x").alias("p"), F.col("b").alias("q")).unionByName(small.select(F.col("x").alias("p"), F.col("a").alias("q"))).where("p <> q")
-        cur = scratch.save(nxt.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
-        now = cur.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        new = scratch.save(nxt.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")))
+        scratch.drop(large)
+        if last is not None:  # the first table stays for the nodes
+            scratch.drop(cur)
+        cur, now = new, (seen.get["n"], seen.get["h"])
         if now == last:
-            break
+            return nodes.join(cur.select(F.col("b").alias("node"), F.col("a").alias("root")).groupBy("node").agg(F.min("root").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
         last = now
-    return nodes.join(cur.select(F.col("b").alias("node"), F.col("a").alias("root")).groupBy("node").agg(F.min("root").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+    raise ValueError(f"no components after {max_rounds} rounds")
 
 
 def strong_components(edges: DataFrame, name: str = "scc", max_rounds: int = 200) -> DataFrame:

@@ -29,6 +29,8 @@ from graphmill.functions.scratch import Scratch
 
 BASE_ROWS = 1 << 18
 SIBLINGS_PER_GROUP = 250_000
+TOUR_POSITIONS = 1 << 16
+HELD_IDS = 200_000
 NONE = -1
 
 _RANKED = "e long, pos long, dep long, head long"
@@ -180,26 +182,44 @@ def hierarchy(df: DataFrame, base_rows: int = BASE_ROWS, siblings_per_group: int
     return in_trees.unionByName(in_loops)
 
 
-def paths(df: DataFrame, tree: DataFrame, name: str = "paths") -> DataFrame:
-    """(id, path) with the ids from the root down to the node, for every node of `tree` (a `hierarchy` result) outside cycles.
+def _stacks(tree: DataFrame, positions: int, emit, schema: str) -> DataFrame:
+    """Calls `emit(ids above, id)` for every node of `tree` outside cycles, the ids above from the root down, by a stack over intervals.
 
-    By doubling: after k rounds each node holds its last 2^k ids, so rounds follow the logarithm of the greatest depth.
+    A tour is cut into stretches of `positions` entries, so a tree that holds most rows is spread over many tasks; a node
+    whose interval reaches into later stretches goes there as well, which is less than what the result holds for their nodes.
     """
-    scratch = Scratch(df.sparkSession, name)
-    flat = tree.where("depth >= 0").select("id", "depth")
-    up = df.select("id", "parent").join(flat, "id").select("id", F.when(F.col("depth") > 0, F.col("parent")).alias("up"), F.array("id").alias("path"))
-    state = scratch.save(up)
-    while state.where("up is not null").limit(1).count():
-        above = state.select(F.col("id").alias("__id"), F.col("up").alias("__up"), F.col("path").alias("__path"))
-        done = state.where("up is null")
-        step = state.where("up is not null").join(above, F.col("up") == F.col("__id")).select("id", F.col("__up").alias("up"), F.concat("__path", "path").alias("path"))
-        new = scratch.save(done.unionByName(step))
-        scratch.drop(state)
-        state = new
-    return state.select("id", "path")
-
-
-def descendants(path_rows: DataFrame) -> DataFrame:
-    """(ancestor, descendant, distance) for every pair, from the rows of `paths`."""
-    x = path_rows.select(F.col("id").alias("descendant"), F.size("path").alias("__n"), F.posexplode("path").alias("__i", "ancestor"))
-    return x.where("ancestor <> descendant").select("ancestor", "descendant", (F.col("__n") - 1 - F.col("__i")).cast("long").alias("distance"))
+    c = F.lit(positions)
+    flat = tree.where("depth >= 0").select("id", "root_id", "entry", "exit", F.floor(F.col("entry") / c).alias("first"), F.floor(F.col("exit") / c).alias("last"))
+    placed = flat.select("id", "root_id", "entry", "exit", "first", F.explode(F.sequence("first", "last")).alias("part"))
+
+    def run(pdfs):
+        group, stack = None, []
+        names = [x.split()[0] for x in schema.split(", ")]
+        for p in pdfs:
+            out, held = [], 0
+            for node, root, entry, exit_, own, part in zip(p["id"], p["root_id"], p["entry"], p["exit"], p["first"] == p["part"], p["part"]):
+                if (root, part) != group:
+                    group, stack = (root, part), []
+                while stack and stack[-1][0] < entry:
+                    stack.pop()
+                if own:
+                    out += emit([x for _, x in stack], node)
+                    held += len(stack) + 1
+                    if held > HELD_IDS:  # deep trees give long rows: a batch is bounded by the ids it holds
+                        yield pd.DataFrame(out, columns=names)
+                        out, held = [], 0
+                if exit_ > entry + 1:
+                    stack.append((exit_, node))
+            yield pd.DataFrame(out, columns=names)
+
+    return placed.repartition("root_id", "part").sortWithinPartitions("root_id", "part", "entry").mapInPandas(run, schema)
+
+
+def paths(tree: DataFrame, positions: int = TOUR_POSITIONS) -> DataFrame:
+    """(id, path) with the ids from the root down to the node, for every node of `tree` (a `hierarchy` result) outside cycles."""
+    return _stacks(tree, positions, lambda above, node: [(node, [*above, node])], "id string, path array<string>")
+
+
+def descendants(tree: DataFrame, positions: int = TOUR_POSITIONS) -> DataFrame:
+    """(ancestor, descendant, distance) for every pair of nodes of `tree` outside cycles, one row a pair."""
+    return _stacks(tree, positions, lambda above, node: [(x, node, len(above) - i) for i, x in enumerate(above)], "ancestor string, descendant string, distance long")

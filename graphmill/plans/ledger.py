@@ -40,8 +40,7 @@ def ledger_reads(s: SparkSession, d: str) -> DataFrame:
 
 
 def ancestors(s: SparkSession, d: str) -> DataFrame:
-    links = task_links(s, d)
-    pairs = hierarchy.descendants(hierarchy.paths(links, hierarchy.hierarchy(links)))
+    pairs = hierarchy.descendants(hierarchy.hierarchy(task_links(s, d)))
     # whether there is an output is all that is asked, so the texts are not shuffled
     flagged = table(s, d, "tasks").withColumn("output", F.when(F.col("output").isNotNull(), "yes"))
     return ledger.ancestor_outputs(pairs, ledger.valid_tasks(flagged, ["role", "title", "output"]))

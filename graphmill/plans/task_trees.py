@@ -24,14 +24,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:
     """Every task outside cycles with its path from the root."""
-    links = task_links(spark, d)
-    return h.paths(links, h.hierarchy(links)).select(F.col("id").alias("task_id"), F.array_join("path", "/").alias("path"))
+    return h.paths(h.hierarchy(task_links(spark, d))).select(F.col("id").alias("task_id"), F.array_join("path", "/").alias("path"))
 
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
     """Every pair of a task and one below it."""
-    links = task_links(spark, d)
-    return h.descendants(h.paths(links, h.hierarchy(links)))
+    return h.descendants(h.hierarchy(task_links(spark, d)))
+
+
+def p3_spliced(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of p3_found with a small last step, so that the contraction by splicing runs on small tables too."""
+    return h.hierarchy(task_links(spark, d), base_rows=SMALL_BASE).select(F.col("id").alias("task_id"), "root_id", "depth", "n_descendants")
 
 
 def p3_cycles(spark: SparkSession, d: str) -> DataFrame:
@@ -40,6 +43,7 @@ def p3_cycles(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("root_id").agg(F.sum(F.col("on_cycle").cast("long")).alias("n_on_cycle"), F.count("*").alias("n_tasks"))
 
 
+SMALL_BASE = 1024
 _B = BLANKS
 _N = lambda c: f"nullif(lower(trim({c}, '{_B}')), '')"
 _CTE = f"""
@@ -55,13 +59,17 @@ root as (select u.id, u.anc root_id, t.depth from up u join top t on t.id = u.id
 n as (select anc id, count(*) - 1 n from up where id not in (select id from bad) group by 1)
 """
 
-QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p3_cycles": p3_cycles}
+QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p3_cycles": p3_cycles, "p3_spliced": p3_spliced}
+_LOOPS = """, loops as (select u.id, u.anc entry_id from up u where u.looped),
+ring as (select l0.entry_id, min(u.anc) root_id from (select distinct entry_id from loops) l0 join up u on u.id = l0.entry_id group by 1)
+"""
 SQL = {
     "p3_found": _CTE
-    + """, loops as (select u.id, u.anc entry_id from up u where u.looped),
-ring as (select l0.entry_id, min(u.anc) root_id from (select distinct entry_id from loops) l0 join up u on u.id = l0.entry_id group by 1)
-select root.id task_id, root.root_id, root.depth, cast(n.n as bigint) n_descendants from root join n on n.id = root.id
+    + _LOOPS
+    + """select root.id task_id, root.root_id, root.depth, cast(n.n as bigint) n_descendants from root join n on n.id = root.id
 union all select loops.id, ring.root_id, -1, -1 from loops join ring using (entry_id)""",
     "p3_paths": _CTE + "select u.id task_id, array_to_string(u.path, '/') path from up u join top t on t.id = u.id and t.depth = u.dist",
+    "p3_cycles": _CTE + _LOOPS + "select ring.root_id, count(*) filter (loops.id = loops.entry_id) n_on_cycle, count(*) n_tasks from loops join ring using (entry_id) group by 1",
     "p3_descendants": _CTE + "select anc ancestor, id descendant, dist distance from up where dist > 0 and id not in (select id from bad)",
 }
+SQL["p3_spliced"] = SQL["p3_found"]

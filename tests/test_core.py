@@ -119,10 +119,12 @@ def test_hierarchy_long_chain_cycles_and_intervals(spark):
     assert rows(tree.where("on_cycle"), "id") == [("s",), ("x",), ("y",)]
     t = {r.id: r for r in tree.collect()}
     assert t["c010"].entry < t["c150"].entry and t["c150"].exit < t["c010"].exit
-    p = {r.id: r.path for r in hierarchy.paths(df, tree).collect()}
+    p = {r.id: r.path for r in hierarchy.paths(tree, positions=3).collect()}
     assert p["c003"] == ["c000", "c001", "c002", "c003"] and "x" not in p and len(p["c199"]) == 200
-    pairs = hierarchy.descendants(spark.createDataFrame([("c", ["a", "b", "c"])], "id string, path array<string>"))
-    assert rows(pairs, "ancestor", "descendant", "distance") == [("a", "c", 2), ("b", "c", 1)]
+    few = hierarchy.hierarchy(spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "a"), ("e", None)], "id string, parent string"))
+    for positions in (1, 2, 1000):
+        assert rows(hierarchy.descendants(few, positions)) == [("a", "b", 1), ("a", "c", 2), ("a", "d", 1), ("b", "c", 1)]
+        assert rows(hierarchy.paths(few, positions)) == [("a", ["a"]), ("b", ["a", "b"]), ("c", ["a", "b", "c"]), ("d", ["a", "d"]), ("e", ["e"])]
 
 
 def test_hierarchy_empty(spark):
