@@ -23,7 +23,7 @@ from graphmill.llm.splitting import split
 from graphmill.llm.tokens import VOCABULARY, encode
 from graphmill.sources.tables import table
 
-CAPACITY, SEGMENTS, LOSS_CAPACITY, SHARD_ITEMS = 4096, 64, 4080, 8192
+CAPACITY, SEGMENTS, LOSS_CAPACITY, SHARD_ITEMS = 4096, 64, 4032, 8192
 
 
 def sizes(text: str, path: str = VOCABULARY) -> tuple[int, int, np.ndarray]:
@@ -98,7 +98,8 @@ def containers(docs: DataFrame, capacity: int = CAPACITY, segments: int = SEGMEN
         box = pack(size, np.array([capacity, segments, loss_capacity]))
         return pd.DataFrame({"container": [f"{p['shard'].iloc[0]}-{b}" for b in box], "doc_id": p["doc_id"], "part": p["part"], "n_tokens": p["n_tokens"], "n_loss": p["n_loss"]})
 
-    return sized.groupBy("shard").applyInPandas(run, "container string, doc_id long, part long, n_tokens long, n_loss long")
+    # the rows are small but the work is not: one task a shard, as an exchange of a stated number is not coalesced
+    return sized.repartition(shards, "shard").groupBy("shard").applyInPandas(run, "container string, doc_id long, part long, n_tokens long, n_loss long")
 
 
 def p8_pack(spark: SparkSession, d: str) -> DataFrame:
