@@ -319,6 +319,19 @@ def test_similar_recall(spark, tables, axes):
     assert len(want & set(got)) / len(want) > 0.9 and all(abs(v - s[int(a[1:]), int(b[1:])]) < 1e-4 for (a, b), v in got.items())
 
 
+def test_similar_shares_of_a_hot_group(spark):
+    """A group divided into shares gives the lists of the whole group, and ties of one id's time are settled the same way."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=96)
+    x = np.round(base + 0.3 * rng.normal(size=(90, 96)), 3)
+    t = datetime.datetime(2026, 1, 1)
+    data = [(f"v{i:03}", t, v.tolist()) for i, v in enumerate(x)] + [("v000", t, x[1].tolist())]
+    df = spark.createDataFrame(data, "id string, created_at timestamp, embedding array<float>")
+    whole, parts = (rows(similar.most_similar(df, dim=96, block=64, group_rows=n), "id", "other", "rank") for n in (1000, 20))
+    assert whole == parts and len(whole) == 90 * 5
+    assert similar.near_bits(0.5) == 172 and similar.near_bits(0.9) < similar.near_bits(0.5)
+
+
 def test_similar_two_axes_meet_as_often_as_one():
     rng = np.random.default_rng(3)
     unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
