@@ -10,25 +10,36 @@ from __future__ import annotations
 
 import ast
 import bisect
+import json
 import re
 import tomllib
 import warnings
 from collections.abc import Iterator
 
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from graphmill.functions.lexing import language_of, lex
+from graphmill.functions.types import plain_type as return_type
+from graphmill.sources.scan import SKIPPED_DIRS
 
 SCHEMA = "repo string, path string, tag string, owner string, qualified_name string, name string, line_start int, line_end int, detail string, extra array<string>"
 # Receivers and method sets of the frameworks that are recognised.
-ROUTERS = {"app", "router", "api", "blueprint", "bp", "server", "web", "v1", "routes"}
+ROUTERS = {"api", "app", "blueprint", "bp", "fastapi_app", "myapp", "router", "router_v1", "router_v2"}
 VERBS = {"get", "post", "put", "delete", "patch", "head", "options"}
-TOOL_RECEIVERS = {"mcp", "server", "app", "tools", "mcp_server"}
-CLIENTS = {"axios", "http", "https", "fetch", "client", "api", "request", "got", "superagent"}
-WRAPPERS = ("Optional", "List", "list", "Set", "set", "Sequence", "Iterable", "Iterator", "Awaitable", "Coroutine", "AsyncIterator", "Type", "type")
+TOOL_RECEIVERS = {"app", "fast_mcp", "fastmcp", "mcp", "server"}
+CLIENTS = {"aiohttp", "api", "api_client", "axios", "client", "fetch", "got", "http", "httpclient", "https", "httpservice", "ky", "request", "requests", "session", "urllib"}
 SPRING = {"GetMapping": "GET", "PostMapping": "POST", "PutMapping": "PUT", "DeleteMapping": "DELETE", "PatchMapping": "PATCH"}
-ORM_LEAVES = {"add", "add_all", "merge", "delete", "execute", "query", "get", "scalar", "scalars", "filter", "filter_by", "all", "first", "create", "bulk_create", "update", "save", "get_or_create", "update_or_create", "exclude", "values", "count", "exists"}
+SESSION_LEAVES = {"add", "add_all", "bulk_insert_mappings", "bulk_save_objects", "bulk_update_mappings", "delete", "execute", "get", "merge", "query", "scalars"}
+READ_LEAVES = {"aggregate", "all", "annotate", "count", "defer", "difference", "distinct", "exclude", "exists", "filter", "first", "get", "in_bulk", "intersection", "iterator", "last", "none", "only", "order_by", "prefetch_related", "raw", "reverse", "select_related", "union", "values", "values_list"}
+WRITE_LEAVES = {"bulk_create", "bulk_update", "create", "raw_update", "update"}
+BOTH_LEAVES = {"get_or_create", "update_or_create"}
+INSTANCE_LEAVES = {"delete", "refresh_from_db", "save"}
+ORM_LEAVES = SESSION_LEAVES | READ_LEAVES | WRITE_LEAVES | BOTH_LEAVES | INSTANCE_LEAVES
+DECLARATIVE_BASES = {"Base", "DeclarativeBase", "Model", "ModelBase"}
+DJANGO_BASES = {"AbstractBaseUser", "AbstractUser", "Model", "models.AbstractBaseUser", "models.AbstractUser", "models.Model"}
 
 
 def module_qn(path: str, roots: tuple[str, ...] = ()) -> str:
@@ -39,34 +50,6 @@ def module_qn(path: str, roots: tuple[str, ...] = ()) -> str:
     return re.sub(r"(?:^|/)(?:__init__|index)$", "", rest).replace("/", ".") or rest.replace("/", ".")
 
 
-def return_type(raw: str | None) -> str:
-    """A return annotation reduced to the type that matters: unquoted, without None, single-argument wrappers unwrapped, the last
-    argument of those with several."""
-    t = (raw or "").strip().strip("'\"").strip()
-    while True:
-        parts = [p.strip() for p in _split(t, "|") if p.strip() not in ("None", "")]
-        if len(parts) == 1 and parts[0] != t:
-            t = parts[0]
-            continue
-        m = re.fullmatch(r"(?:[\w.]*\.)?(\w+)\[(.*)\]", t, re.S)
-        if m and m[1] in WRAPPERS:
-            t = _split(m[2], ",")[-1].strip().strip("'\"")
-            continue
-        return t
-
-
-def _split(text: str, sep: str) -> list[str]:
-    out, level, cur = [], 0, ""
-    for c in text:
-        level += (c in "[({") - (c in "])}")
-        if c == sep and level == 0:
-            out.append(cur)
-            cur = ""
-        else:
-            cur += c
-    return [*out, cur]
-
-
 def _dotted(node: ast.AST) -> str:
     if isinstance(node, ast.Name):
         return node.id
@@ -127,13 +110,15 @@ def _python_class(node: ast.ClassDef, mod: str, local: dict[str, str]) -> Iterat
         yield "inherits", qn, local.get(b, b), b, node.lineno, node.lineno, "", []
     fields = {t.id: n.value for n in node.body if isinstance(n, ast.Assign) for t in n.targets if isinstance(t, ast.Name)}
     fields |= {n.target.id: n.value for n in node.body if isinstance(n, ast.AnnAssign) and isinstance(n.target, ast.Name) and n.value is not None}
-    django = any(b == "models.Model" or b.endswith(".Model") or b == "Model" for b in bases)
+    named = _literal(fields.get("__tablename__"))
+    django = any(b in DJANGO_BASES or b.endswith(".models.Model") for b in bases) and not named
+    declared = any(b.rsplit(".", 1)[-1] in DECLARATIVE_BASES for b in bases)
     columns = {k: v for k, v in fields.items() if isinstance(v, ast.Call) and (_dotted(v.func).rsplit(".", 1)[-1] in ("Column", "mapped_column") or django and _dotted(v.func).endswith("Field") or django and _dotted(v.func).rsplit(".", 1)[-1] == "ForeignKey")}
     meta = next((n for n in node.body if isinstance(n, ast.ClassDef) and n.name == "Meta"), None)
-    named = _literal(fields.get("__tablename__"))
     if django and meta:
         named = next((_literal(n.value) for n in meta.body if isinstance(n, ast.Assign) and _dotted(n.targets[0]) == "db_table"), None)
-    if django or named:
+    typed = {n.target.id: n for n in node.body if isinstance(n, ast.AnnAssign) and isinstance(n.target, ast.Name) and _text(n.annotation).split("[")[0].rsplit(".", 1)[-1] == "Mapped"}
+    if django or named or declared and (columns or typed) and "__abstract__" not in fields:
         table = named or camel_to_snake(node.name)
         yield "table", qn, table, node.name, node.lineno, node.end_lineno, "django" if django else "sqlalchemy", []
         for k, v in columns.items():
@@ -324,7 +309,7 @@ def braced_rows(path: str, content: str, language: str) -> Iterator[tuple]:
                 yield "call", owner, callee, name, line(i), line(i), "new" if k and cls[k - 1] == "new" else "", []
                 verb = name.lower()
                 recv = callee.rsplit(".", 2)[-2] if "." in callee else ""
-                if language in ("javascript", "typescript") and verb in VERBS and recv and recv not in CLIENTS and i + 2 < n and cls[i + 2] == "STR":
+                if language in ("javascript", "typescript") and verb in VERBS and recv and recv.lower() not in CLIENTS and i + 2 < n and cls[i + 2] == "STR":
                     yield "route", "", text[i + 2].strip("'\""), verb.upper(), line(i), line(i), "express", []
         elif c == "ID" and i + 2 < n and cls[i + 1] == "=" and language in ("javascript", "typescript") and prev_is(cls, i, ("const", "let", "var")):
             j = i + 2 + (cls[i + 2] == "async")
@@ -386,17 +371,46 @@ def extract(files: DataFrame, roots: tuple[str, ...] = ()) -> DataFrame:
     return files.where("repo is not null and path is not null").select("repo", "path", "content").mapInPandas(run, SCHEMA)
 
 
-def package_roots(projects: list[tuple[str, str]]) -> list[str]:
-    """Package roots among (path of a pyproject file, its text): those that declare a project, deepest first; a src folder is looked through."""
-    out = []
+def extract_latest(files: DataFrame, roots: tuple[str, ...] = ()) -> DataFrame:
+    """`extract` of the latest scan per file of (repo, path, content, scanned_at).
+
+    Every scan is read where it lies, its rows packed into one value, and only those values are shuffled to pick the latest;
+    contents never are. Of equally late scans the one with the greatest packed rows holds.
+    """
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+
+    def read(pdfs):
+        for p in pdfs:
+            packed = [zstandard.ZstdCompressor(level=3).compress(json.dumps(file_rows(path, content or "", roots)).encode()) for path, content in zip(p["path"], p["content"])]
+            yield pd.DataFrame({"repo": p["repo"], "path": p["path"], "scanned_at": p["scanned_at"], "packed": packed})
+
+    def unpack(pdfs):
+        for p in pdfs:
+            yield pd.DataFrame([(r, path, *row) for r, path, x in zip(p["repo"], p["path"], p["packed"]) for row in json.loads(zstandard.ZstdDecompressor().decompress(x))], columns=names)
+
+    rows = files.where("repo is not null and path is not null").select("repo", "path", "content", "scanned_at").mapInPandas(read, "repo string, path string, scanned_at timestamp, packed binary")
+    last = rows.groupBy("repo", "path").agg(F.max(F.struct("scanned_at", "packed")).alias("m"))
+    return last.select("repo", "path", "m.packed").mapInPandas(unpack, SCHEMA)
+
+
+def package_roots(projects: list[tuple[str, str]], skipped: list[str] = SKIPPED_DIRS) -> list[str]:
+    """Package roots among (path of a project file, its text): those that declare a package and do not lie in a skipped folder, deepest
+    first; where the file names a source folder, in the way of either of two build tools, that is the root."""
+    out = set()
     for path, text in projects:
+        folder = path.rsplit("/", 1)[0] if "/" in path else ""
         try:
-            t = tomllib.loads(text)
+            declared = tomllib.loads(text)
         except tomllib.TOMLDecodeError:
             continue
-        tool = t.get("tool", {})
-        hatch = tool.get("hatch", {})
-        if "project" in t or "poetry" in tool or "build" in hatch or "version" in hatch or tool.get("setuptools"):
-            base = path.rsplit("/", 1)[0] if "/" in path else ""
-            out += [f"{base}/src".strip("/"), base]
-    return sorted(set(out), key=lambda r: (-r.count("/") - bool(r), r))
+        tool = declared.get("tool", {})
+        poetry, hatch, setuptools = (tool.get(x, {}) for x in ("poetry", "hatch", "setuptools"))
+        if set(path.split("/")) & set(skipped) or not ("project" in declared or "poetry" in tool or {"build", "version"} & set(hatch) or setuptools):
+            continue
+        listed = poetry.get("packages", [])
+        sources = [x["from"] for x in (listed if isinstance(listed, list) else []) if isinstance(x, dict) and isinstance(x.get("from"), str)]
+        mapped = setuptools.get("package-dir", {})
+        sources += [mapped[""]] if isinstance(mapped, dict) and isinstance(mapped.get(""), str) else []
+        out.add((folder, sources[0] if sources else ""))
+    order = sorted(out, key=lambda x: (-len([p for p in x[0].split("/") if p]), x))
+    return ["/".join(p for p in x if p) for x in order]

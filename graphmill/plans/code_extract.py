@@ -15,15 +15,18 @@ from graphmill.sources.tables import table
 _FAMILY = {"extract_python": r"\.pyi?$", "extract_typescript": r"\.(ts|tsx|js|jsx)$", "extract_java": r"\.java$", "extract_cpp": r"\.(cpp|cc|cxx|h|hpp)$"}
 
 
-def _files(s: SparkSession, d: str) -> DataFrame:
-    """One content per file: the latest scan's."""
-    f = table(s, d, "file_node").where("repo is not null and path is not null")
-    return f.groupBy("repo", "path").agg(F.max_by("content", "scanned_at").alias("content"))
+def _scans(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "file_node").where("repo is not null and path is not null")
+
+
+def _latest_of(scans: DataFrame, found) -> DataFrame:
+    """(repo, path, found) of the latest scan: what is found in a content is shuffled, the content is not."""
+    return scans.select("repo", "path", "scanned_at", found.alias("found")).groupBy("repo", "path").agg(F.max(F.struct("scanned_at", "found")).alias("m")).select("repo", "path", F.col("m.found").alias("found"))
 
 
 def _extractor(pattern: str):
     def q(s: SparkSession, d: str) -> DataFrame:
-        return ex.extract(_files(s, d).where(F.col("path").rlike(pattern))).select("repo", "path", "tag", "owner", "qualified_name", "name", "line_start", "line_end")
+        return ex.extract_latest(_scans(s, d).where(F.col("path").rlike(pattern))).select("repo", "path", "tag", "owner", "qualified_name", "name", "line_start", "line_end")
 
     return q
 
@@ -43,7 +46,7 @@ def file_buckets(s: SparkSession, d: str) -> DataFrame:
 
 def scan_prune(s: SparkSession, d: str) -> DataFrame:
     """Files outside folders that are never scanned."""
-    return scan.pruned(table(s, d, "file_node").select("repo", "path").distinct(), extra=["build"])
+    return scan.pruned(table(s, d, "file_node").select("repo", "path").distinct(), extra=["legacy"])
 
 
 def gitignore(s: SparkSession, d: str) -> DataFrame:
@@ -65,17 +68,15 @@ def nextjs_paths(s: SparkSession, d: str) -> DataFrame:
 
 def ts_import(s: SparkSession, d: str) -> DataFrame:
     """Relative imports of scripts with the file they mean, by the order in which suffixes are tried."""
-    f = _files(s, d).where(F.col("path").rlike(r"\.(ts|tsx|js|jsx)$"))
-    spec = F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"from ['\"](\.\.?/[^'\"\n]+)['\"]"), 1)))
-    i = f.select("repo", "path", spec.alias("spec"))
+    f = _latest_of(_scans(s, d).where(F.col("path").rlike(r"\.(ts|tsx|js|jsx)$")), F.regexp_extract_all("content", F.lit(r"from ['\"](\.\.?/[^'\"\n]+)['\"]"), 1))
+    i = f.select("repo", "path", F.explode(F.array_distinct("found")).alias("spec"))
     return scan.script_imports(i, f.select("repo", "path"))
 
 
 def cpp_include(s: SparkSession, d: str) -> DataFrame:
     """Quoted includes with the header they mean: the one whose path ends in it and shares most folders."""
-    f = _files(s, d).where(F.col("path").rlike(r"\.(cpp|cc|cxx|h|hpp)$"))
-    inc = F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r'#include "([^"\n]+)"'), 1)))
-    i = f.select("repo", "path", inc.alias("include")).unionByName(f.select("repo", "path", F.regexp_extract("path", "([^/]+)$", 1).alias("include")))
+    f = _latest_of(_scans(s, d).where(F.col("path").rlike(r"\.(cpp|cc|cxx|h|hpp)$")), F.regexp_extract_all("content", F.lit(r'#include "([^"\n]+)"'), 1))
+    i = f.select("repo", "path", F.explode(F.array_distinct("found")).alias("include")).unionByName(f.select("repo", "path", F.regexp_extract("path", "([^/]+)$", 1).alias("include")))
     return scan.includes(i, f.select("repo", F.col("path").alias("header")))
 
 
@@ -100,7 +101,7 @@ def resolve_calls(s: SparkSession, d: str) -> DataFrame:
 
 def resolve_all(s: SparkSession, d: str) -> DataFrame:
     """Calls read from the sources, resolved through their imports, bindings and inheritance; counts per repo and rule."""
-    rows = ex.extract(_files(s, d))
+    rows = ex.extract_latest(_scans(s, d))
     fn = _tag(rows, "function").select("repo", "qualified_name", "owner", "name")
     cl = _tag(rows, "class").select("repo", "qualified_name")
     imports = _tag(rows, "import").select("repo", F.col("owner").alias("module"), F.col("name").alias("local_name"), F.col("qualified_name").alias("target"), F.col("detail").alias("kind"))
@@ -164,10 +165,10 @@ QUERIES = {name: _extractor(pattern) for name, pattern in _FAMILY.items()} | {
 SQL = {
     "ext_language": f"select distinct repo, path, {_LANG_SQL} as language from file_node",
     "file_buckets": f"select repo, {_LANG_SQL} as language, count(distinct path) n_files from file_node group by 1, 2",
-    "scan_prune": "select distinct repo, path from file_node where not list_has_any(string_split(path, '/')[:-2], [" + ", ".join(f"'{x}'" for x in sorted({*scan.SKIPPED_DIRS, "build"})) + "])",
-    "gitignore": "select distinct repo, path from file_node where not (regexp_matches(path, '(^|/)vendor(/|$)') or regexp_matches(path, '[.]min[.]js(/|$)') or regexp_matches(path, '(^|/)assets(/|$)') or regexp_matches(path, '(^|/)gen[^/]*(/|$)'))",
+    "scan_prune": "select distinct repo, path from file_node where not list_has_any(string_split(path, '/'), [" + ", ".join(f"'{x}'" for x in sorted({*scan.SKIPPED_DIRS, "legacy"})) + "])",
+    "gitignore": "select distinct repo, path from file_node where not (regexp_matches(path, '(^|/)vendor(/|$)') or regexp_matches(path, '[.]min[.]js(/|$)') or regexp_matches(path, '(^|/)assets(/|$)') or regexp_matches(path, '(^|/)gen[^/]*(/|$)') or regexp_matches(path, '^gen'))",
     "module_qn": "select distinct path, replace(regexp_replace(regexp_replace(path, '\\.[^./]+$', ''), '/(__init__|index)$', ''), '/', '.') as module from file_node",
-    "ts_import": f"with {_LATEST}, f as (select * from fl where regexp_matches(path, '\\.(ts|tsx|js|jsx)$')), i as (select distinct repo, path, unnest(regexp_extract_all(content, 'from [''\"](\\.\\.?/[^''\"\\n]+)[''\"]', 1)) spec from f), b as (select repo, path, spec, concat(regexp_replace(path, '[^/]*$', ''), regexp_replace(spec, '^\\./', '')) t from i where not starts_with(spec, '../')), u as (select repo, path, spec, t from b union all select repo, path, spec, concat(regexp_replace(regexp_replace(path, '[^/]*$', ''), '[^/]+/$', ''), regexp_replace(spec, '^\\.\\./', '')) from i where starts_with(spec, '../')), c as (select u.*, s.r, concat(regexp_replace(t, '\\.(ts|tsx|js|jsx)$', ''), s.x) cand from u, (values (0, '.ts'), (1, '.tsx'), (2, '.js'), (3, '.jsx'), (4, '/index.ts'), (5, '/index.tsx'), (6, '/index.js'), (7, '/index.jsx')) s(r, x)) select u.repo, u.path, u.spec, m.cand target from u left join (select repo, path, spec, arg_min(cand, r) cand from c where exists (select 1 from f where f.repo = c.repo and f.path = c.cand) group by 1, 2, 3) m on m.repo = u.repo and m.path = u.path and m.spec = u.spec",
+    "ts_import": f"with {_LATEST}, f as (select * from fl where regexp_matches(path, '\\.(ts|tsx|js|jsx)$')), i as (select distinct repo, path, unnest(regexp_extract_all(content, 'from [''\"](\\.\\.?/[^''\"\\n]+)[''\"]', 1)) spec from f), u as (select repo, path, spec, ltrim(list_reduce(list_prepend('', string_split(concat(regexp_replace(path, '[^/]*$', ''), spec), '/')), lambda a, x: case when x = '..' then regexp_replace(a, '/?[^/]*$', '') when x in ('', '.') then a else concat(a, '/', x) end), '/') t from i), c as (select u.*, s.r, concat(regexp_replace(t, '\\.(ts|tsx|js|jsx)$', ''), s.x) cand from u, (values (0, '.ts'), (1, '.tsx'), (2, '.js'), (3, '.jsx'), (4, '/index.ts'), (5, '/index.tsx'), (6, '/index.js'), (7, '/index.jsx')) s(r, x)) select u.repo, u.path, u.spec, m.cand target from u left join (select repo, path, spec, arg_min(cand, r) cand from c where exists (select 1 from f where f.repo = c.repo and f.path = c.cand) group by 1, 2, 3) m on m.repo = u.repo and m.path = u.path and m.spec = u.spec",
     "java_overload": "with f as (select distinct repo, parent_class_qn, name, array_to_string(list_transform(param_types, lambda x: coalesce(x.type, '')), ',') types from function_node where is_method and parent_class_qn <> '') select repo, concat(parent_class_qn, '.', name, case when count(*) over (partition by repo, parent_class_qn, name) > 1 then concat(':', types) else '' end) qualified_name from f",
     "template_score": "with d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') w from documents), s as (select doc_id, unnest([{'s': 2 * len(list_intersect(['edges', 'graph', 'import'], w)) - 3 * len(list_intersect(['tenant'], w)), 'o': 0, 'n': 'graph'}, {'s': 2 * len(list_intersect(['queue', 'callbacks', 'retry'], w)) - 3 * len(list_intersect(['prompt'], w)), 'o': -1, 'n': 'queue'}, {'s': 2 * len(list_intersect(['budget', 'cost', 'limits'], w)) - 3 * len(list_intersect(['schema'], w)), 'o': -2, 'n': 'budget'}]) x from d), m as (select doc_id, max(x) x from s group by 1) select doc_id, x.n as template, x.s score from m where x.s > 0",
     "cross_cutting": "with t as (select doc_id, coalesce(text, '') t from documents), x as (select doc_id, len(regexp_extract_all(t, '\\n[0-9]+\\. ')) items, len(list_distinct(regexp_extract_all(t, '[A-Za-z0-9_/]+\\.(?:py|ts|js|java|cpp|md)'))) as files, len(regexp_extract_all(t, '```')) // 2 fences, len(regexp_extract_all(lower(t), 'add tests|write tests|tests for')) tests from t) select *, items + files + fences + tests >= 4 broad from x",

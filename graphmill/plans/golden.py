@@ -128,8 +128,14 @@ def nextjs_golden(s, d):
     return p.select("file", nextjs_path("file").alias("route"))
 
 
+ROOT_FILES = [
+    ("pyproject.toml", "[project]\nname='x'"), ("libs/a/pyproject.toml", "[tool.poetry]\npackages = [{include = 'a', from = 'src'}]"), ("b/pyproject.toml", "[tool.black]"), ("c/pyproject.toml", "[tool.hatch.build]"),
+    ("d/pyproject.toml", "[tool.setuptools.package-dir]\n'' = 'lib'"), ("venv/e/pyproject.toml", "[project]"), ("f/pyproject.toml", "[project"), ("g/pyproject.toml", "[tool.hatch.envs]"),
+]
+
+
 def pkg_roots(s, d):
-    roots = ex.package_roots([("pyproject.toml", "[project]\nname='x'"), ("libs/a/pyproject.toml", "[tool.poetry]"), ("b/pyproject.toml", "[tool.black]"), ("c/pyproject.toml", "[tool.hatch.build]")])
+    roots = ex.package_roots(ROOT_FILES)
     return s.createDataFrame([(i, r) for i, r in enumerate(roots)], "pos long, root string")
 
 
@@ -209,7 +215,7 @@ SQL = {
     "spring_routes": _values("path, method, handler", [("/shop/all", "GET", "shop.web.Cart.all"), ("/shop", "POST", "shop.web.Cart.add")]),
     "java_golden": _values("tag, qualified_name, name, extra", [("import", "shop.core.*", "*", ""), ("class", "shop.web.Cart", "Cart", ""), ("inherits", "Base", "Base", ""), ("inherits", "Api", "Api", ""), ("inherits", "Closeable", "Closeable", ""), ("function", "shop.web.Cart.all", "all", ""), ("call", "svc.load", "load", ""), ("function", "shop.web.Cart.add", "add", "i:Item,n:int"), ("call", "this.check", "check", ""), ("call", "Item", "Item", "")]),
     "nextjs_golden": _values("file, route", [("app/users/[id]/route.ts", "/users/{id}"), ("pages/docs/[...slug].tsx", "/docs/{*slug}"), ("src/app/(shop)/page.tsx", "/"), ("pages/index.js", "/")]),
-    "pkg_roots": _values("pos, root", [(0, "libs/a/src"), (1, "c/src"), (2, "libs/a"), (3, "c"), (4, "src"), (5, "")], {"pos": "bigint"}),
+    "pkg_roots": _values("pos, root", [(0, "libs/a/src"), (1, "c"), (2, "d/lib"), (3, "")], {"pos": "bigint"}),
     "dispatch": _values("class_qn, method, target", [("A", "f", "A.f"), ("B", "f", "B.f"), ("B", "h", "D.h"), ("C", "f", "D.f"), ("C", "g", "C.g"), ("C", "h", "D.h"), ("D", "f", "D.f"), ("D", "h", "D.h"), ("X", "f", "B.f"), ("X", "g", "C.g"), ("X", "h", "D.h")]),
     "var_lookup": _values("scope, var, type_name", [("m.f", "x", "T3"), ("m.g", "x", "T1"), ("m.f", "y", "T4"), ("m.g", "y", "T4")]),
     "resolve_chain": _values("id, type_qn", [(1, "C"), (2, None), (3, "A"), (4, None), (5, "A")]),

@@ -16,6 +16,11 @@ def _tasks(s: SparkSession, d: str, cols: list[str] | None = None) -> DataFrame:
     return ledger.valid_tasks(table(s, d, "tasks"), cols)
 
 
+def _sized_tasks(s: SparkSession, d: str, cols: list[str]) -> DataFrame:
+    """Valid tasks with the length of their output in its place, so that the texts are not shuffled."""
+    return ledger.valid_tasks(table(s, d, "tasks").withColumn("output", F.length("output").cast("long")), cols)
+
+
 def project_rollup(s: SparkSession, d: str) -> DataFrame:
     return ledger.project_rollup(ledger.valid_projects(table(s, d, "projects")), _tasks(s, d, ["project_id", "status", "cost_usd"]))
 
@@ -25,11 +30,11 @@ def cost_breakdown(s: SparkSession, d: str) -> DataFrame:
 
 
 def latest_output(s: SparkSession, d: str) -> DataFrame:
-    return ledger.latest_output(_tasks(s, d, ["project_id", "role", "output", "created_at"]), "coder").select("project_id", "task_id", F.length("output").cast("long").alias("n_chars"))
+    return ledger.latest_output(_sized_tasks(s, d, ["project_id", "role", "output", "created_at"]), "coder").select("project_id", "task_id", F.col("output").alias("n_chars"))
 
 
 def backfill_anti(s: SparkSession, d: str) -> DataFrame:
-    return ledger.without_embedding(_tasks(s, d, ["status", "output", "created_at"]), table(s, d, "task_embeddings")).select("id", "created_at")
+    return ledger.without_embedding(_sized_tasks(s, d, ["status", "output", "created_at"]), table(s, d, "task_embeddings")).select("id", "created_at")
 
 
 def ledger_reads(s: SparkSession, d: str) -> DataFrame:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import fnmatch
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphmill.functions.lexing import LANGUAGE_OF
+from graphmill.functions.types import plain_type
 
 MAX_BYTES = 2 * 1024 * 1024
 # Folders that are never scanned.
-SKIPPED_DIRS = [".git", ".hg", ".svn", ".idea", ".vscode", ".venv", "venv", "env", "node_modules", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", "dist", "target", ".gradle", ".next", ".nuxt", "coverage", ".terraform", ".cache", "site-packages", "bower_components", ".eggs"]
+SKIPPED_DIRS = [".cache", ".env", ".git", ".hg", ".idea", ".mypy_cache", ".next", ".nox", ".nyc_output", ".pytest_cache", ".ruff_cache", ".svn", ".tox", ".venv", ".vscode", "__pycache__", "build", "coverage", "dist", "egg-info", "env", "node_modules", "out", "target", "venv"]
 SUFFIX_ORDER = [".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
 
 
@@ -35,31 +38,33 @@ def read_tree(spark: SparkSession, root: str, repo: str, max_bytes: int = MAX_BY
 
 
 def pruned(files: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """Files none of whose folders is skipped, by name."""
-    dirs = F.array(*[F.lit(x) for x in [*SKIPPED_DIRS, *(extra or [])]])
-    parts = F.split("path", "/")
-    folders = F.when(F.size(parts) > 1, F.slice(parts, 1, F.size(parts) - 1)).otherwise(F.array().cast("array<string>"))
-    return files.where(~F.arrays_overlap(folders, dirs))
+    """Files of which neither a folder nor the file itself has a skipped name."""
+    return files.where(~F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in [*SKIPPED_DIRS, *(extra or [])]])))
 
 
 def without_ignored(files: DataFrame, patterns: list[str]) -> DataFrame:
-    """Files that no ignore pattern meets: a pattern matches a whole path or any part of it; comments and blank lines are no patterns."""
+    """Files that no ignore pattern meets: a shell pattern (`*`, `?`, `[...]`) matches the whole path or one part of it, and `*` crosses
+    folders; one leading and one trailing slash are dropped, comments and blank lines are no patterns."""
     out = files
     for line in patterns:
-        p = line.strip().strip("/")
-        if not p or p.startswith("#"):
-            continue
-        body = "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c) for c in p)
-        out = out.where(~F.col("path").rlike(f"(^|/){body}(/|$)"))
+        p = line.strip().removeprefix("/").removesuffix("/") if not line.strip().startswith("#") else ""
+        if p:
+            body = "^" + fnmatch.translate(p)
+            out = out.where(~(F.col("path").rlike(body) | F.exists(F.split("path", "/"), lambda x: x.rlike(body))))  # noqa: B023
     return out
 
 
+def relative_target(folder: Column, spec: Column) -> Column:
+    """The path that a relative import names from a folder (with its last slash): `.` stays, `..` goes up, beyond the top it stays there."""
+    walk = F.filter(F.split(F.concat(folder, spec), "/"), lambda x: ~x.isin("", "."))
+    step = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, x))
+    return F.array_join(F.aggregate(walk, F.array().cast("array<string>"), step), "/")
+
+
 def script_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(repo, path, spec, target): the file behind a relative import, the first that exists in the order of suffixes; null if none does."""
     folder = F.regexp_replace("path", "[^/]*$", "")
-    up = F.regexp_replace(folder, "[^/]+/$", "")
-    target = F.when(F.startswith("spec", F.lit("../")), F.concat(up, F.regexp_replace("spec", r"^\.\./", ""))).otherwise(F.concat(folder, F.regexp_replace("spec", r"^\./", "")))
-    stem = F.regexp_replace(target, r"\.(ts|tsx|js|jsx)$", "")
+    stem = F.regexp_replace(relative_target(folder, F.col("spec")), r"\.(ts|tsx|js|jsx)$", "")
     i = imports.select("repo", "path", "spec").distinct()
     tries = i.select("*", F.posexplode(F.array(*[F.concat(stem, F.lit(x)) for x in SUFFIX_ORDER])).alias("rank", "target"))
     known = files.select("repo", F.col("path").alias("target")).distinct()
@@ -81,9 +86,10 @@ def includes(inc: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def return_type(raw: str | Column) -> Column:
-    """A return annotation without quotes and None, with single-argument wrappers taken off up to three deep."""
-    t = F.trim(F.regexp_replace(F.trim(F.coalesce(_c(raw), F.lit(""))), "^[\"']|[\"']$", ""))
-    for _ in range(3):
-        t = F.trim(F.regexp_replace(F.regexp_replace(t, r"^None \| ", ""), r" \| None$", ""))
-        t = F.regexp_replace(t, r"^(?:[A-Za-z_]+\.)?(?:Optional|List|list|Set|set|Sequence|Iterable|Iterator|Awaitable|Type|type|Promise)[\[<]([^,]*)[\]>]$", "$1")
-    return t
+    """`plain_type` of a column, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def plain(x: pd.Series) -> pd.Series:
+        return x.map(plain_type)
+
+    return plain(_c(raw))

@@ -292,7 +292,9 @@ def test_extract_braces(spark):
     df = spark.createDataFrame([("r", "a.py", None, 1), ("r", None, "x", 1), (None, "b.py", "x", 1)], "repo string, path string, content string, tag int")
     assert [r.tag for r in extract.extract(df).collect()] == ["module"]
     roots = extract.package_roots([("pyproject.toml", "[project]\nname='x'"), ("libs/a/pyproject.toml", "[tool.poetry]"), ("b/pyproject.toml", "[tool.black]")])
-    assert roots[0] == "libs/a/src" and "b" not in roots
+    assert roots == ["libs/a", ""]
+    src = [("pyproject.toml", "[tool.poetry]\npackages = [{include = 'x', from = 'src'}]"), ("l/pyproject.toml", "[tool.setuptools.package-dir]\n'' = 'src'"), ("build/pyproject.toml", "[project]")]
+    assert extract.package_roots(src) == ["l/src", "src"] and extract.module_qn("l/src/p/m.py", ("l/src", "src")) == "p.m"
 
 
 def test_resolution(spark):
@@ -339,9 +341,13 @@ def test_scan(spark, tmp_path):
     assert rows(scan.without_ignored(f, ["# c", "vendor/", "*.min.js", ""]), "path") == [("c.js",)]
     i = spark.createDataFrame([("r", "s/a.ts", "./b"), ("r", "s/a.ts", "../q"), ("r", "s/a.ts", "./none")], "repo string, path string, spec string")
     k = spark.createDataFrame([("r", "s/b.js"), ("r", "s/b.tsx"), ("r", "q/index.ts")], "repo string, path string")
+    deep = spark.createDataFrame([("r", "s/t/u/a.ts", "../../v/./b.js"), ("r", "a.ts", "../../q")], "repo string, path string, spec string")
+    assert rows(scan.script_imports(deep, spark.createDataFrame([("r", "s/v/b.ts"), ("r", "q.js")], "repo string, path string")), "target") == [("q.js",), ("s/v/b.ts",)]
+    assert rows(scan.without_ignored(f, ["src*a.js", "[bx].min.js"]), "path") == [("c.js",)]
     assert rows(scan.script_imports(i, k), "spec", "target") == [("../q", "q/index.ts"), ("./b", "s/b.tsx"), ("./none", None)]
     inc = spark.createDataFrame([("r", "lib/x/a.cc", "u/h.h")], "repo string, path string, include string")
     hd = spark.createDataFrame([("r", "lib/x/u/h.h"), ("r", "app/u/h.h"), ("r", "lib/u/ah.h")], "repo string, header string")
     assert rows(scan.includes(inc, hd), "header") == [("lib/x/u/h.h",)]
     t = spark.createDataFrame([("Optional[List[User]]",), ("'int | None'",), ("Dict[str, int]",), (None,)], "x string")
+    assert scan.plain_type("Optional[List[Iterator[Awaitable[User]]]]") == "User" and scan.plain_type("Promise<Array<Row>> | null") == "Row" and scan.plain_type("Generator[int, None, Row]") == "Row" and scan.plain_type("Set[int]") == "Set[int]"
     assert [r[0] for r in t.select(scan.return_type("x")).collect()] == ["User", "int", "Dict[str, int]", ""]
