@@ -26,6 +26,22 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("repo", F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).distinct()
 
 
+def code_graph(calls: DataFrame, inherits: DataFrame, imports: DataFrame, members: DataFrame) -> DataFrame:
+    """Undirected edges (repo, a, b) between members of a repo: calls and inheritance between two of them, and for each import of a
+    module the first member by name of the importing file with that of the module's file.
+
+    calls and inherits: repo, source, target; imports: repo, path, target_path; members: repo, path, member.
+    """
+    m = members.where("member is not null").select("repo", "path", "member").distinct()
+    own = m.select("repo", "member").distinct()
+    e = calls.select("repo", "source", "target").unionByName(inherits.select("repo", "source", "target")).distinct()
+    e = e.join(own.withColumnRenamed("member", "source"), ["repo", "source"], "left_semi").join(own.withColumnRenamed("member", "target"), ["repo", "target"], "left_semi")
+    first = m.groupBy("repo", "path").agg(F.min("member").alias("member"))
+    i = imports.select("repo", "path", "target_path").distinct().join(first.withColumnRenamed("member", "source"), ["repo", "path"])
+    i = i.join(first.select("repo", F.col("path").alias("target_path"), F.col("member").alias("target")), ["repo", "target_path"]).where("source <> target")
+    return undirected(e.select("repo", "source", "target").unionByName(i.select("repo", "source", "target")))
+
+
 def entry_points(edges: DataFrame) -> DataFrame:
     """(repo, node): nodes that call and are not called; in a repo without any, the calling nodes called least."""
     out = edges.groupBy("repo", F.col("source").alias("node")).agg(F.count("*").alias("n_out"))
@@ -82,6 +98,17 @@ def top_processes(scored: DataFrame, keep: int = 50) -> DataFrame:
     return top.select("repo", F.col("rank").cast("long").alias("rank"), F.when(F.col("k") == 1, F.col("base")).otherwise(F.concat("base", F.lit(" #"), F.col("k").cast("string"))).alias("name"), "path_id", "score")
 
 
+def process_steps(top: DataFrame) -> DataFrame:
+    """(repo, name, step, member) of the rows of `top_processes`, steps counted from 0."""
+    return top.select("repo", "name", F.posexplode(F.split("path_id", r"\|")).alias("step", "member")).withColumn("step", F.col("step").cast("long"))
+
+
+def process_summary(path_id: str | Column, shown: int = 6) -> Column:
+    """The last name parts of a path's first nodes, with three dots where there are more."""
+    nodes = F.transform(F.split(path_id, r"\|"), lambda x: F.element_at(F.split(x, r"\."), -1))
+    return F.concat(F.array_join(F.slice(nodes, 1, shown), ", "), F.when(F.size(nodes) > shown, "...").otherwise(""))
+
+
 def cohesion(edges: DataFrame, labels: DataFrame) -> DataFrame:
     """(repo, label, cohesion): share of a community's edges that stay inside, 0 without edges; edges (repo, a, b) undirected."""
     l1 = labels.select("repo", F.col("node").alias("a"), F.col("label").alias("la"))
@@ -94,17 +121,57 @@ def cohesion(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return every.join(per, ["repo", "label"], "left").select("repo", "label", F.round(F.coalesce(F.col("intra") / F.col("total"), F.lit(0.0)), 6).alias("cohesion"))
 
 
-def label_tokens(members: DataFrame) -> DataFrame:
-    """(repo, label, token): a community's most frequent word of its members' last two name parts, the earliest in order of members among equals."""
+def _words(members: DataFrame) -> DataFrame:
+    """(repo, label, token, n, first): words of the members' last two name parts with their number and first place in order of members."""
     parts = F.slice(F.split("member", r"\."), -2, 2)
     two = F.when(F.size(F.split("member", r"\.")) < 2, F.split("member", r"\.")).otherwise(parts)
     words = F.filter(F.split(F.regexp_replace(F.lower(F.array_join(two, ".")), "[^a-z._-]", ""), "[._-]"), lambda x: x != "")
     x = members.select("repo", "label", "member", F.posexplode(words).alias("i", "token"))
-    c = x.groupBy("repo", "label", "token").agg(F.count("*").alias("n"), F.min(F.struct("member", "i")).alias("first"))
-    best = c.groupBy("repo", "label").agg(F.min(F.struct((-F.col("n")).alias("n"), "first", "token")).alias("m"))
+    return x.groupBy("repo", "label", "token").agg(F.count("*").alias("n"), F.min(F.struct("member", "i")).alias("first"))
+
+
+def label_tokens(members: DataFrame) -> DataFrame:
+    """(repo, label, token): a community's most frequent word of its members' last two name parts, the earliest in order of members among equals."""
+    best = _words(members).groupBy("repo", "label").agg(F.min(F.struct((-F.col("n")).alias("n"), "first", "token")).alias("m"))
     return best.select("repo", "label", F.col("m.token").alias("token"))
 
 
+def community_names(members: DataFrame) -> DataFrame:
+    """(repo, label, name): communities named by their most frequent word, in the order of their size and label; a word that is taken
+    gets the next most frequent ones after it until the pair is free, else the name is `cluster_` and the community's place.
+
+    members: repo, label, member. Words of a repo's communities stream through one task in that order, which only holds the names taken.
+    """
+    size = members.select("repo", "label", "member").distinct().groupBy("repo", "label").agg(F.count("*").alias("size"))
+    words = _words(members.select("repo", "label", "member").distinct())
+    rows = size.join(words, ["repo", "label"], "left")
+
+    def run(pdfs):
+        repo = label = None
+        place, used, first, name = -1, set(), None, None
+        for p in pdfs:
+            out = []
+            for r, x, token in zip(p["repo"], p["label"], p["token"]):
+                if (r, x) != (repo, label):
+                    if label is not None:
+                        name = name or f"cluster_{place}"
+                        used.add(name)
+                        out.append((repo, label, name))
+                    if r != repo:
+                        place, used = -1, set()
+                    repo, label, place, first, name = r, x, place + 1, token, None
+                    if token is not None and token not in used:
+                        name = token
+                elif name is None and f"{first}_{token}" not in used:
+                    name = f"{first}_{token}"
+            yield pd.DataFrame(out, columns=["repo", "label", "name"])
+        if label is not None:
+            yield pd.DataFrame([(repo, label, name or f"cluster_{place}")], columns=["repo", "label", "name"])
+
+    ordered = rows.repartition("repo").sortWithinPartitions("repo", F.desc("size"), "label", F.desc("n"), "first")
+    return ordered.select("repo", "label", "token").mapInPandas(run, "repo string, label string, name string")
+
+
 def components(edges: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
     """(node, component): the least node reachable over undirected edges (a, b), by alternating small-star and large-star joins.
 

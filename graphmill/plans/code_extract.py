@@ -107,7 +107,9 @@ def resolve_all(s: SparkSession, d: str) -> DataFrame:
     imports = _tag(rows, "import").select("repo", F.col("owner").alias("module"), F.col("name").alias("local_name"), F.col("qualified_name").alias("target"), F.col("detail").alias("kind"))
     parents = rs.resolve_parents(_tag(rows, "inherits").select("repo", F.col("owner").alias("child"), F.col("name").alias("parent")), cl, imports)
     methods = rs.method_table(fn.join(cl.select("repo", F.col("qualified_name").alias("owner")).distinct(), ["repo", "owner"], "left_semi").select("repo", F.col("owner").alias("class_qn"), F.col("name").alias("method"), F.col("qualified_name").alias("target")), parents.select("repo", F.col("child").alias("class_qn"), F.col("target").alias("parent_qn"), F.lit(0).alias("pos")))
-    bind = _tag(rows, "binding").select("repo", F.col("owner").alias("scope"), F.col("name").alias("var"), F.col("qualified_name").alias("type_qn"))
+    bound = _tag(rows, "binding").select("repo", "path", F.col("owner").alias("scope"), F.col("name").alias("var"), F.col("qualified_name").alias("text"))
+    bound = bound.join(_tag(rows, "module").select("repo", "path", F.col("qualified_name").alias("module")), ["repo", "path"])
+    bind = bound.join(rs.resolve_types(bound, cl, imports).where("type_qn is not null"), ["repo", "module", "text"]).select("repo", "scope", "var", "type_qn")
     calls = _tag(rows, "call").select("repo", F.col("owner").alias("caller"), F.col("qualified_name").alias("callee"), F.col("line_start").alias("line"))
     r = rs.resolve_calls(calls, fn, imports, bind, methods)
     return r.groupBy("repo", "rule").agg(F.count("*").alias("n_calls"))

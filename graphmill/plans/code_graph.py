@@ -54,6 +54,28 @@ def top_processes(s: SparkSession, d: str) -> DataFrame:
     return g.top_processes(g.scored_chains(_chains(s, d), _labels(s, d)))
 
 
+def process_steps(s: SparkSession, d: str) -> DataFrame:
+    """Every kept process with its steps and the summary of its path."""
+    top = top_processes(s, d)
+    return g.process_steps(top).join(top.select("repo", "name", g.process_summary("path_id").alias("summary")), ["repo", "name"])
+
+
+def code_graph(s: SparkSession, d: str) -> DataFrame:
+    """Calls between functions and classes, and imports of one file by another through the modules of the calls' files."""
+    own = lambda n: table(s, d, n).select("repo", F.col("file_path").alias("path"), F.col("qualified_name").alias("member"))
+    members = own("function_node").unionByName(own("class_node"))
+    calls = table(s, d, "call_site").select("repo", F.col("caller_qn").alias("source"), F.col("callee_qn").alias("target")).where("source <> target")
+    inherits = table(s, d, "function_node").where("parent_class_qn <> ''").select("repo", F.regexp_replace("parent_class_qn", r"\.[^.]*$", "").alias("source"), F.col("parent_class_qn").alias("target"))
+    at = members.groupBy("repo", "member").agg(F.min("path").alias("target_path"))
+    imports = table(s, d, "call_site").select("repo", F.col("file_path").alias("path"), F.col("callee_qn").alias("member")).distinct().join(at, ["repo", "member"]).where("path <> target_path")
+    return g.code_graph(calls, inherits, imports, members)
+
+
+def community_names(s: SparkSession, d: str) -> DataFrame:
+    """Folders as communities with names that differ within a repo."""
+    return g.community_names(_labels(s, d).select("repo", "label", F.col("node").alias("member")))
+
+
 def cohesion(s: SparkSession, d: str) -> DataFrame:
     return g.cohesion(g.undirected(_edges(s, d)), _labels(s, d))
 
@@ -135,7 +157,7 @@ _SC = "x as (select repo, array_to_string(path, '|') path_id, len(path) n, unnes
 _U = "u as (select distinct repo, least(source, target) a, greatest(source, target) b from e)"
 _S = "s as (select distinct repo, file_path, line_start as start, line_end + 1 as stop, qualified_name id from (select repo, file_path, line_start, line_end, qualified_name from function_node union all select repo, file_path, line_start, line_end, qualified_name from class_node))"
 
-QUERIES = {f.__name__: f for f in (call_graph, graph_edges, entry_points, chains, chain_score, top_processes, cohesion, label_tokens, scc, connected, louvain, communities, scope_parent, scope_at, qn_dedupe, module_exports, camel_snake)}
+QUERIES = {f.__name__: f for f in (call_graph, graph_edges, entry_points, chains, chain_score, top_processes, process_steps, code_graph, community_names, cohesion, label_tokens, scc, connected, louvain, communities, scope_parent, scope_at, qn_dedupe, module_exports, camel_snake)}
 SQL = {
     "call_graph": f"with {_E} select * from e",
     "graph_edges": f"with {_E}, {_U} select * from u",
@@ -153,3 +175,6 @@ SQL = {
     "module_exports": "select distinct repo, regexp_replace(qualified_name, '\\.[^.]*$', '') as module, name, qualified_name from (select repo, qualified_name, name from function_node where not is_method union all select repo, qualified_name, name from class_node) where not starts_with(name, '_')",
     "camel_snake": "select distinct name, lower(regexp_replace(name, '([^A-Z])([A-Z])', '\\1_\\2', 'g')) snake from (select name from function_node union select name from class_node)",
 }
+_TOP = SQL["top_processes"]
+SQL["process_steps"] = f"with tp as ({_TOP}) select repo, name, unnest(range(len(p))) step, unnest(p) as member, concat(array_to_string(list_transform(p[:6], lambda x: split_part(x, '.', -1)), ', '), case when len(p) > 6 then '...' else '' end) summary from (select repo, name, string_split(path_id, '|') p from tp)"
+SQL["code_graph"] = "with mem as (select distinct repo, file_path path, qualified_name m from function_node where qualified_name is not null union select distinct repo, file_path, qualified_name from class_node where qualified_name is not null), e as (select repo, caller_qn s, callee_qn t from call_site where caller_qn <> callee_qn union select repo, regexp_replace(parent_class_qn, '\\.[^.]*$', ''), parent_class_qn from function_node where parent_class_qn <> ''), ee as (select * from e where exists (select 1 from mem where mem.repo = e.repo and m = s) and exists (select 1 from mem where mem.repo = e.repo and m = t)), fm as (select repo, path, min(m) m from mem group by 1, 2), pl as (select repo, m, min(path) path from mem group by 1, 2), i as (select distinct c.repo, c.file_path p, pl.path q from call_site c join pl on pl.repo = c.repo and pl.m = c.callee_qn where c.file_path <> pl.path), ii as (select i.repo, x.m s, y.m t from i join fm x on x.repo = i.repo and x.path = i.p join fm y on y.repo = i.repo and y.path = i.q where x.m <> y.m) select distinct repo, least(s, t) a, greatest(s, t) b from (select * from ee union all select * from ii)"

@@ -185,6 +185,34 @@ def resolve_inherits(s, d):
     return rs.resolve_parents(i, c, imp).select("child", "parent", "target")
 
 
+_FIELDS = [("a.Service", "client", "a.ApiClient"), ("a.App", "service", "a.Service"), ("a.App", "self_loop", "a.App"), ("a.run", "app", "a.App"), ("a", "app", "a.Other")]
+_COMPOUND = [("a.Service.fetch", "self.client.get"), ("a.Service.fetch", "self.client.ping"), ("a.App.go", "this.service.client.get"), ("a.run", "app.service.fetch"), ("a.run", "app.service.client.get"), ("a.run", "app.none.get"), ("a.walk", "app.service.fetch"), ("a.run", "app.self_loop.service.client.get"), ("a.run", "app.get")]
+
+
+def resolve_compound(s, d):
+    """Calls through fields; a variable of the nearest scope counts, and more than two fields are not followed."""
+    c = s.createDataFrame([("r", caller, callee, i) for i, (caller, callee) in enumerate(_COMPOUND)], "repo string, caller string, callee string, line int")
+    b = s.createDataFrame([("r", *x) for x in _FIELDS], "repo string, scope string, var string, type_qn string")
+    m = rs.method_table(s.createDataFrame([("r", "a.ApiClient", "get", "a.ApiClient.get"), ("r", "a.Base", "ping", "a.Base.ping"), ("r", "a.Service", "fetch", "a.Service.fetch")], "repo string, class_qn string, method string, target string"), s.createDataFrame([("r", "a.ApiClient", "a.Base", 0)], "repo string, class_qn string, parent_qn string, pos int"))
+    return rs.resolve_compound(c, b, m).select("caller", "callee", "target")
+
+
+def type_name(s, d):
+    """Texts of types with the class they mean: wrappers and None are passed over, aliases followed, wildcards last."""
+    t = s.createDataFrame([("r", "m", x) for x in ("Optional[User]", "lib.Job", "J", "Dict[str, Unknown]", "User | None", "Wild", "list[Wild | User]")], "repo string, module string, text string")
+    c = s.createDataFrame([("r", x) for x in ("m.User", "lib.Job", "w.Wild", "w.User")], "repo string, qualified_name string")
+    i = s.createDataFrame([("r", "m", "J", "lib.Job", "symbol"), ("r", "m", "*", "w", "wildcard")], "repo string, module string, local_name string, target string, kind string")
+    return rs.resolve_types(t, c, i).select("text", "type_qn")
+
+
+def orm_rules(s, d):
+    """One call of each rule of table accesses."""
+    h = [("f", "User.objects.get_or_create", "get_or_create", "", ""), ("f", "User.objects.values_list", "values_list", "", ""), ("f", "User.active.filter", "filter", "", ""), ("f", "s.scalars", "scalars", "User.id", ""), ("f", "s.execute", "execute", "text", "User"), ("f", "s.execute", "execute", "insert", "User"), ("f", "s.add", "add", "u", ""), ("f", "pkg.db.Session.add", "add", "u", ""), ("f", "pkg.Basket.add", "add", "u", ""), ("f", "u.save", "save", "", ""), ("f", "u.refresh_from_db", "refresh_from_db", "", ""), ("g", "u.save", "save", "", ""), ("g", "s.bulk_insert_mappings", "bulk_insert_mappings", "User", "")]
+    hints = s.createDataFrame([("r", *x, i) for i, x in enumerate(h)], "repo string, caller string, callee string, leaf string, arg_head string, inner_arg string, line int")
+    b = s.createDataFrame([("r", "f", "u", "models.User")], "repo string, scope string, var string, type_name string")
+    return rs.classify_table_access(hints, s.createDataFrame([("r", "User", "users")], "repo string, model string, table_name string"), b).select("line", "op_kind")
+
+
 def prune(s, d):
     """File nodes after another commit of one repo was announced."""
     from graphmill.sources.tables import table
@@ -202,7 +230,7 @@ def _values(cols: str, data: list[tuple], casts: dict[str, str] | None = None) -
 
 _SELF, _VAR, _IMPORTED = [("m.A.x", "self.go"), ("m.A.x", "self.up"), ("m.A.x", "super.up"), ("m.A.x", "self.none")], [("m.f", "k.run"), ("m.f", "k.none"), ("m.q", "k.run")], [("m.f", "m.f"), ("m.f", "g"), ("m.f", "lib.g"), ("m.f", "pub"), ("m.f", "_priv"), ("m.f", "only"), ("m.f", "nope")]
 
-QUERIES = {f.__name__: f for f in (routes_py, mcp_desc, orm_decl, orm_hint, orm_classify, orm_join, extract_golden, spring_routes, java_golden, nextjs_golden, pkg_roots, dispatch, var_lookup, resolve_chain, resolve_inherits, prune)} | {"resolve_self": _resolved(_SELF), "resolve_var": _resolved(_VAR), "resolve_imported": _resolved(_IMPORTED)}
+QUERIES = {f.__name__: f for f in (routes_py, mcp_desc, orm_decl, orm_hint, orm_classify, orm_join, extract_golden, spring_routes, java_golden, nextjs_golden, pkg_roots, dispatch, var_lookup, resolve_chain, resolve_inherits, prune, resolve_compound, type_name, orm_rules)} | {"resolve_self": _resolved(_SELF), "resolve_var": _resolved(_VAR), "resolve_imported": _resolved(_IMPORTED)}
 _RULE = {"rule": "bigint"}
 SQL = {
     "routes_py": _values("path, method, handler, framework", [("/items/{id}", "GET", "pkg.app.read", "fastapi"), ("/both", "GET", "pkg.app.both", "flask"), ("/both", "POST", "pkg.app.both", "flask")]),
@@ -220,6 +248,9 @@ SQL = {
     "var_lookup": _values("scope, var, type_name", [("m.f", "x", "T3"), ("m.g", "x", "T1"), ("m.f", "y", "T4"), ("m.g", "y", "T4")]),
     "resolve_chain": _values("id, type_qn", [(1, "C"), (2, None), (3, "A"), (4, None), (5, "A")]),
     "resolve_inherits": _values("child, parent, target", [("m.A", "P", "m.P"), ("m.B", "Q", "y.Q"), ("m.C", "lib.K", "lib.K"), ("m.D", "Gone", None), ("q.E", "P", "m.P")]),
+    "resolve_compound": _values("caller, callee, target", [("a.Service.fetch", "self.client.get", "a.ApiClient.get"), ("a.Service.fetch", "self.client.ping", "a.Base.ping"), ("a.App.go", "this.service.client.get", "a.ApiClient.get"), ("a.run", "app.service.fetch", "a.Service.fetch"), ("a.run", "app.service.client.get", "a.ApiClient.get")]),
+    "type_name": _values("text, type_qn", [("Optional[User]", "m.User"), ("lib.Job", "lib.Job"), ("J", "lib.Job"), ("Dict[str, Unknown]", None), ("User | None", "m.User"), ("Wild", "w.Wild"), ("list[Wild | User]", "m.User")]),
+    "orm_rules": _values("line, op_kind", [(0, "read"), (0, "write"), (1, "read"), (3, "read"), (5, "write"), (6, "write"), (7, "write"), (9, "write"), (10, "read"), (12, "write")]),
     "prune": "select distinct repo, path from file_node where repo <> 'granite-hub'",
     "resolve_self": _values("caller, callee, target, rule", [("m.A.x", "self.go", "m.A.go", 3), ("m.A.x", "self.up", "m.P.up", 3), ("m.A.x", "super.up", "m.P.up", 3), ("m.A.x", "self.none", "self.none", None)], _RULE),
     "resolve_var": _values("caller, callee, target, rule", [("m.f", "k.run", "lib.K.run", 3), ("m.f", "k.none", "k.none", None), ("m.q", "k.run", "k.run", None)], _RULE),

@@ -318,6 +318,17 @@ def test_dispatch_diamond(spark):
     assert got[("X", "f")] == "B.f" and got[("X", "h")] == "D.h" and got[("X", "g")] == "C.g" and got[("A", "f")] == "A.f"
 
 
+def test_community_names_and_edges(spark):
+    data = [("r", "A", f"x.auth.login{c}") for c in "abc"] + [("r", "B", f"y.auth.{c}") for c in ("route", "rule")] + [("r", "C", "z.1.2"), ("r", "D", "auth.auth"), ("s", "A", "auth.auth")]
+    got = rows(graph.community_names(spark.createDataFrame(data, "repo string, label string, member string")))
+    assert got == [("r", "A", "auth"), ("r", "B", "auth_route"), ("r", "C", "cluster_2"), ("r", "D", "cluster_3"), ("s", "A", "auth")]
+    assert rows(graph.community_names(spark.createDataFrame([], "repo string, label string, member string"))) == []
+    members = spark.createDataFrame([("r", "p1", "a"), ("r", "p1", "b"), ("r", "p2", "c"), ("r", "p2", "d"), ("r", "p3", "e"), ("r", "p3", None)], "repo string, path string, member string")
+    pair = "repo string, source string, target string"
+    e = graph.code_graph(spark.createDataFrame([("r", "b", "a"), ("r", "a", "b"), ("r", "a", "out")], pair), spark.createDataFrame([("r", "d", "c")], pair), spark.createDataFrame([("r", "p2", "p1"), ("r", "p3", "p3"), ("r", "p3", "none")], "repo string, path string, target_path string"), members)
+    assert rows(e, "a", "b") == [("a", "b"), ("a", "c"), ("c", "d")]
+
+
 def test_types_and_tables(spark):
     b = spark.createDataFrame([("r", "m", "x", "T1", 1), ("r", "m.f", "x", "T2", 2), ("r", "m.f", "x", "T3", 9)], "repo string, scope string, var string, type_name string, line int")
     s = spark.createDataFrame([("r", "m.f", "m.f", 0), ("r", "m.f", "m", 1), ("r", "m.g", "m", 1)], "repo string, scope string, ancestor string, depth int")
