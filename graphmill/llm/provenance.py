@@ -38,6 +38,7 @@ _NAMES = re.compile(
     r"(?:\.min\.(?:js|mjs|cjs)|[.-]bundle\.js|\.chunk\.js|-[0-9a-f]{8,}\.js|\.[0-9a-f]{8,}\.js|_pb2(?:_grpc)?\.pyi?|\.pb\.(?:cc|h|go|cpp)|\.g\.(?:ts|dart|cs|js)|\.generated\.\w+|\.gen\.\w+|_generated\.\w+|\.tab\.(?:c|cc|cpp|h|hpp)|_lexer\.(?:cc|c|cpp|h)|\.yy\.(?:c|cc|cpp)|_stub\.py|\.lock|package-lock\.json|npm-shrinkwrap\.json|yarn\.lock|pnpm-lock\.yaml)$",
     re.I,
 )
+_FENCE = re.compile(r"^[ \t]*```", re.M)
 SCHEMA = "kind string"
 MINIFIED_TOKENS_PER_LINE, MINIFIED_TOKENS, MINIFIED_BLANK_SHARE = 25, 200, 0.15
 DATA_SHARE, DATA_CHARS, DATA_LITERALS = 0.55, 600, 40
@@ -94,12 +95,13 @@ def shape(lexed: Lexed, content: str) -> str | None:
     if not toks:
         return None
     code = literal = n_literals = longest = 0
+    fenced = _FENCE.search(content) is not None  # the marks of a fenced block in prose are no quotes around data
     for i, (cls, at, _) in enumerate(toks):
         n = ends[i] - at
         code += n
         if cls in ("STR", "NUM", "TPL"):
             alone = (i == 0 or toks[i - 1][0] in ("NL", "INDENT", "DEDENT", ":")) and (i + 1 == len(toks) or toks[i + 1][0] == "NL")
-            if not alone:
+            if not alone and not (fenced and cls in ("TPL", "STR") and "\n" in content[at : ends[i]]):
                 literal += n
                 n_literals += 1
                 longest = max(longest, n)

@@ -130,6 +130,12 @@ def test_provenance():
     assert kind("a.js", "!function(e){" + "".join(f"function f{i}(x){{var n=x+{i};return n>3?f(n):x.n[5]}}" for i in range(90)) + "}();") == "minified"
 
 
+def test_provenance_of_fenced_answers():
+    body = "".join(f"  lease.move(table{i}, limit{i % 7});\n" for i in range(60))
+    assert provenance.judge("src/a.ts", "Sure, below is the file:\n\n```typescript\n" + body + "```\n")["kind"] == "own"
+    assert provenance.judge("src/a.ts", "export const A = `\n" + "QmFzZTY0ZGF0YQ\n" * 80 + "`;\n")["kind"] == "data"
+
+
 def test_provenance_edges(spark):
     f = files(spark, [("a.py", None), ("b/node_modules/c", "x" * 100_000)])
     assert rows(provenance.provenance(f.unionByName(f)), "path", "kind") == [("a.py", "own"), ("b/node_modules/c", "third_party")]
