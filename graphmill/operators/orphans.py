@@ -9,8 +9,8 @@ settle the orphans waiting for them; deletions reopen references that were resol
 key is touched by the increment are judged again (`changes`); all others are carried over. `fold` runs many increments over
 a log of such changes, so an increment writes what it changes and not the state.
 
-Order: a record's `version` decides between its rows, so an older row that arrives late loses; without versions the later
-increment wins. A parent with versions has the creation time of its greatest one, a parent without has its earliest.
+Order: a record's `version` decides between its rows, so an older row that arrives late loses, and one without version loses to
+one with it; between equal versions, or without any, the later increment wins. A parent with versions has the creation time of its greatest one, a parent without has its earliest.
 
 Nulls and blanks: a null or blank reference refers to nothing; with a version it is kept, since it ends what an older row
 referred to, but never is an orphan. A record without key is not kept; a null time never counts as too early or too late.
@@ -44,66 +44,60 @@ def _versioned(df: DataFrame) -> DataFrame:
     return df if "version" in df.columns else df.withColumn("version", F.lit(None).cast("timestamp"))
 
 
-def merge_parents(index: DataFrame | None, arrived: DataFrame) -> DataFrame:
-    """Parent index with `arrived` (scope, key, created, deleted, perhaps version) merged in; deleted if ever deleted."""
-    arrived = _versioned(arrived).select("scope", "key", "created", "deleted", "version")
-    both = arrived if index is None else index.unionByName(arrived)
+def merge_parents(arrivals: DataFrame) -> DataFrame:
+    """Parent index (scope, key, created, deleted, version, seq) of all arrivals (scope, key, created, deleted, version, seq): deleted if
+    ever deleted, `seq` the last increment that named the parent."""
     last = F.max(F.when(F.col("version").isNotNull(), F.struct("version", "created")))
-    merged = both.where("key is not null").groupBy("scope", "key").agg(F.min("created").alias("created"), F.max("deleted").alias("deleted"), last.alias("m"))
-    return merged.select("scope", "key", F.when(F.col("m").isNull(), F.col("created")).otherwise(F.col("m.created")).alias("created"), "deleted", F.col("m.version").alias("version"))
+    merged = arrivals.where("key is not null").groupBy("scope", "key").agg(F.min("created").alias("created"), F.max("deleted").alias("deleted"), last.alias("m"), F.max("seq").alias("seq"))
+    return merged.select("scope", "key", F.when(F.col("m").isNull(), F.col("created")).otherwise(F.col("m.created")).alias("created"), "deleted", F.col("m.version").alias("version"), "seq")
 
 
-def judge(refs: DataFrame, index: DataFrame) -> DataFrame:
-    """Each reference with its reason against the index. References are grouped by (scope, ref) only inside the join,
-    which AQE splits where one parent is named by a large share of all rows."""
-    idx = index.select(F.col("scope").alias("__s"), F.col("key").alias("__k"), "created", "deleted")
-    joined = refs.join(idx, (F.col("scope") == F.col("__s")) & (F.col("ref") == F.col("__k")), "left")
-    reason = F.when(F.col("ref").isNull(), None).when(F.col("__k").isNull(), "absent").when(F.col("deleted"), "deleted").when(F.col("created") > F.col("at"), "late")
-    return joined.select(*REF_COLS, "version", reason.alias("reason"))
+def current(log: DataFrame) -> DataFrame:
+    """The reference state that a log of rows amounts to: of each record the row of the greatest version, of the latest increment."""
+    m = log.groupBy(*RECORD).agg(F.max(F.struct("version", "seq", "at", "scope", "ref", "reason")).alias("m"))
+    return m.select(*RECORD, *[F.col(f"m.{c}").alias(c) for c in ("scope", "ref", "at", "version", "reason", "seq")])
+
 
+def changes(log: DataFrame | None, index: DataFrame, new_refs: DataFrame, seq: int) -> DataFrame:
+    """The rows that increment `seq` adds to the log: its own references, and those whose parent it names, judged against the index.
 
-def changes(state: DataFrame | None, new_index: DataFrame, new_refs: DataFrame, arrived: DataFrame) -> DataFrame:
-    """The rows of the reference state that an increment adds or judges anew, against the index after it."""
+    Old and new rows of a record meet in one aggregation, and references meet their parent in one join, which AQE
+    splits where one parent is named by a large share of all rows.
+    """
     fresh = _versioned(new_refs).where("record_key is not null and (ref is not null or version is not null)")
-    fresh = fresh.groupBy(*RECORD).agg(F.max(F.struct("version", "at", "scope", "ref")).alias("m")).select(*RECORD, "m.scope", "m.ref", "m.at", "m.version")
-    if state is None:
-        return judge(fresh, new_index)
-    known = state.select(*RECORD, F.col("version").alias("__v"))
-    fresh = fresh.join(known, RECORD, "left").where("__v is null or version is null or version >= __v").drop("__v")
-    touched = arrived.select(F.col("scope").alias("__s"), F.col("key").alias("__k")).distinct()
-    again = state.join(touched, (F.col("scope") == F.col("__s")) & (F.col("ref") == F.col("__k")), "left_semi")
-    again = again.join(fresh.select(*RECORD), RECORD, "left_anti").select(*REF_COLS, "version")
-    return judge(again.unionByName(fresh), new_index)
+    fresh = fresh.select(*REF_COLS, "version", F.lit(None).cast("string").alias("reason"), F.lit(seq).alias("seq"))
+    now = current(fresh if log is None else log.select(*REF_COLS, "version", "reason", "seq").unionByName(fresh))
+    idx = index.select(F.col("scope").alias("__s"), F.col("key").alias("__k"), "created", "deleted", F.col("seq").alias("__seq"))
+    joined = now.join(idx, (F.col("scope") == F.col("__s")) & (F.col("ref") == F.col("__k")), "left").where((F.col("seq") == seq) | (F.col("__seq") == seq))
+    reason = F.when(F.col("ref").isNull(), None).when(F.col("__k").isNull(), "absent").when(F.col("deleted"), "deleted").when(F.col("created") > F.col("at"), "late")
+    return joined.select(*REF_COLS, "version", reason.alias("reason"), F.lit(seq).alias("seq"))
+
+
+def numbered(arrived: DataFrame, seq: int) -> DataFrame:
+    return _versioned(arrived).select("scope", "key", "created", "deleted", "version", F.lit(seq).alias("seq"))
 
 
 def apply(state: DataFrame | None, index: DataFrame | None, new_refs: DataFrame, arrived: DataFrame) -> tuple[DataFrame, DataFrame]:
     """One increment: returns the new reference state and the new parent index, both written so that plans do not grow from
     increment to increment. `state`/`index` are None at first."""
     scratch = Scratch(new_refs.sparkSession, "orphans")
-    new_index = scratch.save(merge_parents(index, arrived))
-    changed = scratch.save(changes(state, new_index, new_refs, arrived))
-    if state is None:
-        return changed, new_index
-    return scratch.save(state.join(changed.select(*RECORD), RECORD, "left_anti").unionByName(changed)), new_index
-
-
-def current(log: DataFrame) -> DataFrame:
-    """The reference state that a log of changes amounts to: of each record the row of the latest increment, its `seq`."""
-    cols = [c for c in log.columns if c not in (*RECORD, "seq")]
-    return log.groupBy(*RECORD).agg(F.max(F.struct("seq", *cols)).alias("m")).select(*RECORD, *[F.col(f"m.{c}").alias(c) for c in cols])
+    new = numbered(arrived, 1)
+    new_index = scratch.save(merge_parents(new if index is None else index.withColumn("seq", F.lit(0)).unionByName(new)))
+    log = None if state is None else state.withColumn("seq", F.lit(0))
+    changed = scratch.save(changes(log, new_index, new_refs, 1))
+    whole = changed if log is None else scratch.save(current(log.unionByName(changed)))
+    return whole.drop("seq"), new_index.drop("seq")
 
 
 def fold(increments: Iterable[tuple[DataFrame, DataFrame]], scratch: Scratch) -> DataFrame | None:
-    """The reference state after increments of (new_refs, arrived) in their order; each writes its changes and its arrivals only."""
+    """The reference state after increments of (new_refs, arrived) in their order; each writes its changes only."""
     log: list[DataFrame] = []
-    index = None
+    arrivals: list[DataFrame] = []
+    both = lambda parts: reduce(DataFrame.unionByName, parts) if parts else None
     for seq, (refs, arrived) in enumerate(increments):
-        merged = merge_parents(index, arrived)
-        state = current(reduce(DataFrame.unionByName, log)) if log else None
-        log.append(scratch.save(changes(state, merged, refs, arrived).withColumn("seq", F.lit(seq))))
-        arrived = _versioned(arrived).select("scope", "key", "created", "deleted", "version")
-        index = arrived if index is None else index.unionByName(arrived)
-    return current(reduce(DataFrame.unionByName, log)) if log else None
+        arrivals.append(numbered(arrived, seq))
+        log.append(scratch.save(changes(both(log), merge_parents(both(arrivals)), refs, seq)))
+    return current(both(log)).drop("seq") if log else None
 
 
 def snapshot(state: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def _compact(spark: SparkSession, folder: str, batch_id: int, whole: DataFrame)
 def orphan_state(spark: SparkSession, folder: str) -> DataFrame | None:
     """The reference state that `maintain_orphans` keeps in a folder; None before its first batch."""
     log = _log(spark, f"{folder}/refs", None, REF_SCHEMA)
-    return None if log is None else orphans.current(log)
+    return None if log is None else orphans.current(log).drop("seq")
 
 
 def maintain_orphans(changes: DataFrame, folder: str, checkpoint: str, compact_every: int = COMPACT_EVERY) -> StreamingQuery:
@@ -68,15 +68,15 @@ def maintain_orphans(changes: DataFrame, folder: str, checkpoint: str, compact_e
         spark = batch.sparkSession
         batch = orphans._versioned(batch).persist()
         log = _log(spark, f"{folder}/refs", batch_id, REF_SCHEMA)
-        arrivals = _log(spark, f"{folder}/parents", batch_id, PARENT_SCHEMA)
+        older = _log(spark, f"{folder}/parents", batch_id, PARENT_SCHEMA)
         refs = batch.where("record_key is not null").select(*orphans.REF_COLS, "version")
-        arrived = batch.where("record_key is null and key is not null").select("scope", "key", "created", "deleted", "version")
-        index = orphans.merge_parents(None if arrivals is None else arrivals.drop("seq"), arrived)
-        orphans.changes(None if log is None else orphans.current(log), index, refs, arrived).write.mode("overwrite").parquet(f"{folder}/refs/delta-{batch_id}")
-        arrived.write.mode("overwrite").parquet(f"{folder}/parents/delta-{batch_id}")
+        arrived = orphans.numbered(batch.where("record_key is null and key is not null"), batch_id)
+        index = orphans.merge_parents(arrived if older is None else older.unionByName(arrived))
+        orphans.changes(log, index, refs, batch_id).drop("seq").write.mode("overwrite").parquet(f"{folder}/refs/delta-{batch_id}")
+        arrived.drop("seq").write.mode("overwrite").parquet(f"{folder}/parents/delta-{batch_id}")
         if (batch_id + 1) % compact_every == 0:
-            _compact(spark, f"{folder}/refs", batch_id, orphans.current(_log(spark, f"{folder}/refs", batch_id + 1, REF_SCHEMA)))
-            _compact(spark, f"{folder}/parents", batch_id, index)
+            _compact(spark, f"{folder}/refs", batch_id, orphans.current(_log(spark, f"{folder}/refs", batch_id + 1, REF_SCHEMA)).drop("seq"))
+            _compact(spark, f"{folder}/parents", batch_id, index.drop("seq"))
         batch.unpersist()
 
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
