@@ -6,11 +6,32 @@ temporary folder is set; on a cluster that setting has to be there, since execut
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
+_BASES: list[str] = []
+
+
+def _delete(path: str) -> None:
+    context = SparkContext._active_spark_context
+    if context is not None:
+        p = context._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def _clean() -> None:
+    """Removes the tables of all runs of this driver, which results read until it ends; best effort, as the session may be gone."""
+    for base in _BASES:
+        try:
+            _delete(base)
+        except Exception:  # noqa: BLE001
+            return
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder that `spark.checkpoint.dir` names."""
@@ -30,6 +51,7 @@ class Scratch:
         self.spark = spark
         self.base = f"{shared_dir(spark)}/graphmill-{name}-{uuid.uuid4().hex[:12]}"
         self.n = 0
+        _BASES.append(self.base)
 
     def save(self, df: DataFrame, *by: str) -> DataFrame:
         """The frame, written and read back; `by` names columns that divide it into folders, read one by one where filtered."""
@@ -44,6 +66,4 @@ class Scratch:
     def drop(self, df: DataFrame | None) -> None:
         path = getattr(df, "_scratch_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(path)
