@@ -113,5 +113,12 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("container").agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids"), F.sum("n_tokens").alias("n_tokens"), F.round(F.sum("n_tokens") / CAPACITY, 6).alias("used"))
 
 
-QUERIES = {"p8_pack": p8_pack, "p8_fill": p8_fill}
-SQL: dict[str, str] = {}
+def p8_docs(spark: SparkSession, d: str) -> DataFrame:
+    """Every document that was packed, and whether one of its containers is beyond a limit, which SQL states as never."""
+    c = containers(table(spark, d, "documents"))
+    beyond = (F.sum("n_tokens") > CAPACITY) | (F.count("*") > SEGMENTS) | (F.sum("n_loss") > LOSS_CAPACITY)
+    return c.join(c.groupBy("container").agg(beyond.alias("beyond")), "container").groupBy("doc_id").agg(F.max("beyond").alias("beyond"))
+
+
+QUERIES = {"p8_pack": p8_pack, "p8_fill": p8_fill, "p8_docs": p8_docs}
+SQL = {"p8_docs": "select doc_id, false beyond from documents where text is not null"}
