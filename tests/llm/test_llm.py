@@ -355,6 +355,70 @@ def test_similar_two_axes_meet_as_often_as_one():
         assert met[1] > met[0] - 0.08, (cosine, met)
 
 
+def _brute_force(ids, x, k=5, floor=0.5):
+    """(id, other, rank) by comparing all in double precision."""
+    x = x.astype(np.float64)
+    norms = np.sqrt((x * x).sum(1))
+    s = np.round(np.clip(x @ x.T / (norms * norms[:, None]), -1, 1), 12)
+    out = []
+    for i, me in enumerate(ids):
+        near = sorted((-s[i, j], other) for j, other in enumerate(ids) if other != me and s[i, j] >= floor)
+        out += [(me, other, r) for r, (_, other) in enumerate(near[:k], 1)]
+    return sorted(out, key=repr)
+
+
+def test_similar_leaves_out_no_pair(spark):
+    """Lone pairs barely above the floor, one exactly at it, a chain, a crowd, ties and copies, over several blocks."""
+    rng, dim = np.random.default_rng(11), 96
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    a, b = unit(rng.normal(size=(120, dim))), rng.normal(size=(120, dim))
+    c = rng.uniform(0.501, 0.65, (120, 1))
+    b = c * a + np.sqrt(1 - c**2) * unit(b - (a * b).sum(1, keepdims=True) * a)
+    chain = np.eye(dim)[20:32] + np.eye(dim)[21:33]  # neighbours have a cosine of exactly 1/2
+    crowd = rng.normal(size=dim) + 0.1 * rng.normal(size=(60, dim))
+    ties = rng.normal(size=dim).round(3) * np.array([1, 1, 2, 3, 4, 4, 5, 7])[:, None]
+    x = np.concatenate((a, b, chain, crowd, ties)).astype(np.float32)
+    ids = [f"v{i:04}" for i in rng.permutation(len(x))]
+    t = datetime.datetime(2026, 1, 1)
+    df = spark.createDataFrame([(i, t, v.tolist()) for i, v in zip(ids, x)], "id string, created_at timestamp, embedding array<float>")
+    want = _brute_force(ids, x)
+    assert rows(similar.most_similar(df, dim=dim), "id", "other", "rank") == want
+    assert rows(similar.most_similar(df, dim=dim, group_rows=70), "id", "other", "rank") == want
+
+
+def test_similar_tile_rules_out_nothing(monkeypatch):
+    """Many pairs of nearly equal similarity: rows and columns keep their best, however they are computed."""
+    rng = np.random.default_rng(2)
+    x = (rng.normal(size=64) + 1e-3 * rng.normal(size=(50, 64))).astype(np.float32)
+    y = np.concatenate((x[:20] * np.float32(2), rng.normal(size=(30, 64)).astype(np.float32)))
+    xn, yn = similar._norms(x), similar._norms(y)
+    exact = np.round(np.clip(x.astype(np.float64) @ y.astype(np.float64).T / np.outer(xn, yn), -1, 1), 12)
+    i, j = similar._possible(similar._units(x, xn) @ similar._units(y, yn).T, 3, 0.5, 80 * 2.0**-23)
+    kept = set(zip(i.tolist(), j.tolist()))
+    for m, place in ((exact, lambda r, c: (r, c)), (exact.T, lambda r, c: (c, r))):
+        for r in range(len(m)):
+            assert {place(r, c) for c in np.argsort(-m[r])[:3].tolist() if m[r, c] >= 0.5} <= kept
+    for many in (0, 10**9):
+        monkeypatch.setattr(similar, "MANY_PAIRS", many)
+        assert np.abs(similar._similarities(x, xn, y, yn, i, j) - exact[i, j]).max() < 2e-12
+
+
+def test_similar_unpacks_batches():
+    rng = np.random.default_rng(4)
+    for x in (np.round(rng.normal(size=(30, 50)), 3), rng.normal(size=(30, 50)), np.array([[-32.767, 32.767, 0.001, -0.001]])):
+        x = x.astype(np.float32)
+        assert np.array_equal(similar._unpacked([similar.pack_vector(v) for v in x], x.shape[1]), x)
+
+
+def test_similar_shares_of_a_hashed_group(spark):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=96) + 0.3 * rng.normal(size=(90, 96)), 3)
+    t = datetime.datetime(2026, 1, 1)
+    df = spark.createDataFrame([(f"v{i:03}", t, v.tolist()) for i, v in enumerate(x)], "id string, created_at timestamp, embedding array<float>")
+    whole, parts = (rows(similar.most_similar(df, dim=96, block=64, tables=6, axes=1, group_rows=n), "id", "other", "rank") for n in (1000, 20))
+    assert whole == parts and len(whole) == 90 * 5
+
+
 def test_similar_edges(spark):
     t, later = datetime.datetime(2026, 1, 1), datetime.datetime(2026, 2, 1)
     v = _vectors(3, 96)
